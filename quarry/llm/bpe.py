@@ -20,34 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_arrow
+from quarry.llm.common import Memo, distinct_words, gathered, map_arrow
 
 #: Entries that each of a worker's memos may hold before it starts again.
-MEMO = 600_000
+MEMO = 500_000
 
 #: A space beside other white space: there the pattern's matches can cross a single space.
 CROSSING = re.compile(r"  |[^\S ] (?:\s|\Z)| [^\S ]")
 
 
-class Memo(dict):
-    """A dict that computes what it lacks."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-    def bounded(self, most: int = MEMO) -> None:
-        if len(self) > most:
-            self.clear()
-
-
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -138,18 +123,41 @@ class Codec:
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        for memo in (self.pieces, self.spaced, self.fits):
-            memo.bounded()
-        if CROSSING.search(text):
-            return self._split(text)
-        # no match crosses a space that stands between other characters: words can be looked up one by one
-        first, *words = text.split(" ")
-        return self._split(first) + b"".join(map(self.spaced.__getitem__, words))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts (null counts as empty), and where each text begins and the last ends.
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        No match of the pattern crosses a space that stands between other characters, so the words between such
+        spaces are encoded once each; texts with a space beside other white space are split by the pattern whole.
+        """
+        for memo in (self.pieces, self.spaced, self.fits):
+            memo.bounded(MEMO)
+        texts = pc.fill_null(texts, "")
+        plain = texts.to_numpy(zero_copy_only=False).tolist()
+        crossing = [bool(CROSSING.search(t)) for t in plain]
+        split = pc.split_pattern(pc.if_else(pa.array(crossing, pa.bool_()), "", texts), " ")
+        offsets = split.offsets.to_numpy()
+        index, distinct = distinct_words(split.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        offsets = (offsets - offsets[0]).astype(np.int64)
+        index = index.astype(np.int64)
+        index[offsets[:-1]] = len(distinct) + np.arange(len(plain))  # the first word of a text follows no space
+        firsts = [self._split(t if c else t.partition(" ")[0]) for t, c in zip(plain, crossing)]
+        return gathered(index, [*map(self.spaced.__getitem__, distinct), *firsts], offsets)
+
+    def encode_text(self, text: str) -> list[int]:
+        """Ids of one text."""
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
+
+    def runs(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`encode` over runs of rows of about ``most`` bytes: memory stays bounded for long texts."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        run = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield self.encode(texts.slice(a, z - a))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -164,10 +172,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = [np.frombuffer(c.encode(x.as_py() or ""), "<u4").astype(np.int32) for x in batch.column(1)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], [key, "ids"])
+            at = 0
+            for flat, offsets in c.runs(batch.column(1)):
+                n = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat.astype(np.int32)))], [key, "ids"])
+                at += n
 
     return map_arrow(docs.select(key, text), run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -178,7 +187,7 @@ def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            data = [None if x is None else c.decode(np.array(x, "<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            data = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [key, "data"])
 
     return map_arrow(df.select(key, ids), run, f"{key} {df.schema[key].dataType.simpleString()}, data binary")
@@ -191,11 +200,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for batch in batches:
             n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = c.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            for flat, offsets in c.runs(batch.column(1)):
+                offsets = offsets.tolist()
+                for x, y in zip(offsets, offsets[1:]):
+                    n.append(y - x)
+                    a.append(hashlib.sha256(flat[x:y].tobytes()).hexdigest())
+                    b.append(hashlib.sha256(c.decode(flat[x:y])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

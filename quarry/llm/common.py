@@ -165,3 +165,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- texts by distinct word
+
+
+def distinct_words(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Index of each word into the list of distinct ones."""
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(index: np.ndarray, values: list[bytes], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` (ids as little-endian unsigned 32-bit integers) joined in the order of ``index``, and where each
+    of the groups ``offsets`` begins and the last ends."""
+    lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
+    n = lens[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(lens) - lens)[index] - ends[:-1], n) + np.arange(ends[-1])
+    return flat[at], ends[offsets]
+
+
+class Memo(dict):
+    """A dict that computes what it lacks."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def bounded(self, most: int) -> None:
+        if len(self) > most:
+            self.clear()

@@ -132,20 +132,22 @@ def pack_texts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, gr
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, encoder.encode(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                whole, rest = cuts(n, window)
-                at = 0
-                for _ in range(whole):
-                    done.append((key, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, number, 0))
-                    at += window
-                    number += 1
-                for size in rest:
-                    loose.append((key, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
-                    at += size
-                if len(loose) >= group:
-                    dealt()
+            for first, flat, offsets in encoder.encode_batches(batch.column(1)):
+                data, offsets = flat.tobytes(), offsets.tolist()
+                for key, a, z in zip(keys[first:], offsets, offsets[1:]):
+                    ids = data[4 * a : 4 * z] + end
+                    n = z - a + 1
+                    whole, rest = cuts(n, window)
+                    at = 0
+                    for _ in range(whole):
+                        done.append((key, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, number, 0))
+                        at += window
+                        number += 1
+                    for size in rest:
+                        loose.append((key, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
+                        at += size
+                    if len(loose) >= group:
+                        dealt()
             yield from out()
         dealt()
         yield from out()

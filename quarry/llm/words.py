@@ -1,10 +1,9 @@
-"""Ids from a ``tokenizers`` file, with a memo of white-space separated words.
+"""Ids from a ``tokenizers`` file, piece by piece, with memos of words and pieces.
 
-The tokenizer's own pre-tokenizer never lets a match cross white space, so a text's ids are its words' ids in
-order. Each word that a worker has not met is given to the library; the rest are looked up. New words go in lines of
-several hundred, and the line's ids are cut at the tokens that end a word; the cuts hold only if the tokenizer's own
-pattern predicts exactly as many ends, else each word of the line goes alone. Texts with the four ASCII separators
-that Python counts as white space and the tokenizer does not go to the library whole.
+For files whose pipeline is NFC, white space to one space, lower case, one pattern whose matches are kept, byte
+mapping, BPE (checked when the file is loaded), no match crosses white space. So a text's ids are its words' ids in
+order, and a word's are those of its matches, each encoded by the library's model. Special tokens spelled in a text
+are recognised as the library does: such a word goes to the library whole. Any other pipeline gets whole texts.
 """
 
 from __future__ import annotations
@@ -16,69 +15,89 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Words that a worker's memo may hold before it starts again.
-MEMO = 700_000
-ODD = re.compile("[\x1c-\x1f]")
+from quarry.llm.common import Memo, distinct_words, gathered
+
+#: Words and pieces that a worker's memos may hold before they start again.
+WORDS, PIECES = 400_000, 800_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or 256 and up in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Words:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to ids."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         layout = json.loads(self.tokenizer.to_str())
-        suffix = layout["model"].get("end_of_word_suffix") or ""
-        splits = [p["pattern"]["Regex"] for p in (layout["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split" and "Regex" in p["pattern"]]
-        self.match = regex.compile(splits[0]) if suffix and len(splits) == 1 else None
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        kinds = [n["type"] for n in (layout["normalizer"] or {}).get("normalizers", [])]
+        splits = (layout["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and layout["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+            and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+            and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        )
+        if self.by_word:
+            self.match = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.letters = byte_letters()
         self.special = re.compile("|".join(re.escape(t["content"]) for t in layout["added_tokens"]) or r"(?!)")
+        self.model = self.tokenizer.model
+        self.pieces = Memo(self._piece)
+        self.words = Memo(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if "|" in word and self.special.search(word):
+            return self._whole(word)
+        if word.isascii():
+            low = word.lower()
+        else:
+            low = unicodedata.normalize("NFC", word)
+            low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
+        found = self.match.findall(low)
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts (null counts as empty), and where each text begins and the last ends."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            each = [self._whole(t) for t in texts.to_pylist()]
+            return gathered(np.arange(len(each)), each, np.arange(len(each) + 1))
+        self.words.bounded(WORDS)
+        self.pieces.bounded(PIECES)
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        index, distinct = distinct_words(split.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        return gathered(index, list(map(self.words.__getitem__, distinct)), offsets - offsets[0])
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _line(self, line: list[str]) -> list[bytes]:
-        """Ids of each of some words without special tokens, from one call on all of them."""
-        counts = [len(self.match.findall(w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower())) for w in line]
-        ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum(counts)
-        if not len(ends) or upto[-1] != len(ends) or ends[-1] != len(ids):
-            return self._library(line)
-        at = np.where(upto > 0, ends[np.maximum(upto - 1, 0)], 0) * 4
-        data = ids.tobytes()
-        return [data[a:z] for a, z in zip([0, *at[:-1].tolist()], at.tolist())]
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if not self.special.search(w)] if self.match else []
-        for i in range(0, len(plain), 400):
-            self.known.update(zip(line := plain[i : i + 400], self._line(line)))
-        rest = [w for w in new if w not in self.known]
-        self.known.update(zip(rest, self._library(rest)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null counts as empty."""
-        if len(self.known) > MEMO:
-            self.known.clear()
-        out: list[bytes] = []
-        step: list[tuple[str, list[str] | None]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            text = text or ""
-            step.append((text, None if ODD.search(text) else text.split()))
-            size += len(text)
-            if size > 4_000_000 or i + 1 == len(texts):
-                self._learn(list(set().union(*(w for _, w in step if w)) - self.known.keys()))
-                out += [self._library([t])[0] if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in step]
-                step, size = [], 0
-        return out
+    def encode_batches(self, texts: pa.Array, most: int = 8 << 20):
+        """(first row, ids, offsets) of runs of rows of about ``most`` bytes: memory stays bounded for long texts."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        run = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield (a, *self.encode(texts.slice(a, z - a)))
 
 
 @lru_cache(maxsize=2)
