@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, media, packing, simhash
+from quarry.llm import bpe, media, packing, simhash, substring
 from quarry.llm.common import table
 
 END_ID = 2
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
     "op9_byte_bpe": op9_byte_bpe,
