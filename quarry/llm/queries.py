@@ -15,7 +15,7 @@ END_ID = 2
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.deduplicated(table(spark, sf_dir, "documents"))
+    out = substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

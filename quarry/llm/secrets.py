@@ -6,8 +6,8 @@ text looks like code; a transition matrix joins neighbours, and Viterbi finds th
 forward-backward on seeded synthetic lines, so it needs no pass over the data and is the same everywhere.
 
 Most words are prose whose best tag cannot depend on the rest: where "outside" leads by more than all transitions and
-the next word's begin-inside difference could undo, it is the tag in every best path. The Viterbi steps run between
-such words only, which gives exactly the tags of the full decoding.
+the next word's begin-inside difference could undo, it is the tag in every best path (``Scanner.sure``). The Viterbi
+steps run between such words only, which gives exactly the tags of the full decoding.
 
 Pattern matches always stay; a tagged run is added as kind ``crf`` when it overlaps none of them. Offsets are code
 points, ends exclusive.
@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.common import Memo, distinct_words, map_arrow
 
@@ -153,7 +154,7 @@ def _synthetic(rng: random.Random) -> tuple[list[str], list[int]]:
 
 
 @lru_cache(maxsize=1)
-def model(lines: int = 500, rounds: int = 150, seed: int = 7) -> dict[str, np.ndarray]:
+def model(lines: int = 350, rounds: int = 120, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights learned by gradient ascent on the penalised likelihood of synthetic lines."""
     rng = random.Random(seed)
     data = [_synthetic(rng) for _ in range(lines)]
@@ -222,18 +223,18 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _reach(trans: np.ndarray, after_inside: bool) -> float:
-    """The most that transitions can lose when one word's tag becomes "outside" in any path.
+def _reach(trans: np.ndarray, befores: tuple, tags: tuple, nexts: tuple) -> float:
+    """The most that transitions can lose when one word's tag (of ``tags``) becomes "outside".
 
-    If the next word was inside it becomes a begin. The word may be the first or last, or the last but one.
+    ``befores`` and ``nexts`` are its neighbours' tags, None at a text's end; a next word that was inside becomes a
+    begin, which changes the transition after it too.
     """
-    tags = range(TAGS)
     t = lambda a, b: 0.0 if a is None or b is None else float(trans[a, b])
     worst = -np.inf
-    for a in (None, *tags):
-        for x in (1, 2):
-            for c in (2,) if after_inside else (None, 0, 1):
-                for d in (None, *tags) if c is not None else (None,):
+    for a in befores:
+        for x in tags:
+            for c in nexts:
+                for d in (None, 0, 1, 2) if c is not None else (None,):
                     new = 1 if c == 2 else c
                     lost = t(a, x) + t(x, c) + t(c, d) - t(a, 0) - t(0, new) - t(new, d)
                     worst = max(worst, lost) if np.isfinite(lost) else worst
@@ -248,7 +249,11 @@ class Scanner:
         self.classes: dict[frozenset[int], int] = {}
         self.tables = {k: np.zeros((0, TAGS)) for k in ("word", "before", "after")}
         self.of = Memo(self._class)
-        self.reach = [_reach(weights["trans"], after_inside) for after_inside in (False, True)]
+        trans = weights["trans"]
+        self.stay = max(0.0, float(trans[np.isfinite(trans)].max() - trans[0, 0]))
+        self.open = _reach(trans, (None, 0, 1, 2), (1, 2), (None, 0, 1))
+        self.run = _reach(trans, (None, 0, 1, 2), (1, 2), (2,))
+        self.start = _reach(trans, (None, 0), (1,), (2,))
 
     def _class(self, word: str) -> int:
         """Class of a word's features, times 2, plus 1 if a fixed pattern may touch the word."""
@@ -276,11 +281,35 @@ class Scanner:
         share = (odd[offsets[1:]] - odd[offsets[:-1]]) / np.maximum(sizes, 1)
         return emit + np.repeat(self.w["file"][file_feature(share)], sizes, axis=0)
 
+    def sure(self, emit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Words that are outside in every best path.
+
+        Take a block of such words and any path with other tags in it; setting them all to outside must gain. Inside
+        the block that loses at most ``stay`` a transition, at its left edge and before an outside or begin at most
+        ``open``. If the word after the block was inside, it becomes a begin: then the tags set reach the block's end,
+        and either the last word was a begin after an outside, or the last two words (or all of a one-word block and
+        what stands before it) were not outside.
+        """
+        lead = emit[:, 0] - emit[:, 1:].max(axis=1) - self.stay - 1e-9
+        undo = np.concatenate([emit[1:, 2] - emit[1:, 1], [-np.inf]])
+        full = offsets[1:] > offsets[:-1]
+        undo[offsets[1:][full] - 1] = -np.inf  # nothing follows
+        first = np.zeros(len(emit), bool)
+        first[offsets[:-1][full]] = True
+        begun = emit[:, 0] - emit[:, 1] - self.stay - 1e-9 > self.start + undo
+        sure = lead > self.open
+        while True:
+            before = np.concatenate([[False], sure[:-1]]) & ~first
+            two = lead + np.where(before, np.concatenate([[0.0], lead[:-1]]), 0.0)
+            ends = sure & ~np.concatenate([sure[1:], [False]])
+            drop = ends & np.isfinite(undo) & ~(begun & (two > self.run + undo))
+            if not drop.any():
+                return sure
+            sure &= ~drop
+
     def tags(self, emit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Viterbi tags of all texts' words."""
-        lead = emit[:, 0] - emit[:, 1:].max(axis=1)
-        undo = np.concatenate([emit[1:, 2] - emit[1:, 1], [0.0]])
-        sure = lead > np.maximum(self.reach[0], self.reach[1] + undo) + 1e-9
+        sure = self.sure(emit, offsets)
         out = np.zeros(len(emit), np.int64)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         open_ = np.flatnonzero(~sure)
@@ -342,24 +371,27 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``spans`` (array of kind, start, end) and ``redacted``, the text with each merged span replaced by
-    ``[SECRET]`` (null text stays null)."""
+def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` redacted (each merged span replaced by ``[SECRET]``; null stays null) and ``spans``
+    (array of kind, start, end in the text as it was); a column already named ``spans`` is replaced."""
     weights = model()
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>, redacted string"
+    docs = docs.drop("spans")
+    at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(weights)
         for batch in batches:
-            texts = batch.column(1).to_numpy(zero_copy_only=False).tolist()
+            texts = batch.column(at).to_numpy(zero_copy_only=False).tolist()
             spans, clean = [], []
             for found, t in zip(_scanned_in_runs(scanner, texts), texts):
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
                 clean.append(redact(t, found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(clean, pa.string())], [key, "spans", "redacted"])
+            columns = [*batch.columns, pa.array(spans, kind)]
+            columns[at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "spans"])
 
-    return map_arrow(docs.select(key, text), run, schema)
+    return map_arrow(docs, run, StructType([*docs.schema.fields, *StructType.fromDDL("spans array<struct<kind:string,start:long,end:long>>").fields]))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[SECRET]") -> str | None:
@@ -389,7 +421,7 @@ def _scanned_in_runs(scanner: Scanner, texts: list[str | None], most: int = 6_00
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, a digest of their spans, and all spans as text."""
-    spans = scanned(docs).select("doc_id", "spans")
+    spans = scanned(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "crf")

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quarry.llm.common import distinct_words, map_arrow, partitions, planes, released, ship, unplanes, written
 
@@ -263,13 +264,21 @@ def repeats(docs: DataFrame, marks: DataFrame, buckets: int, groups: int, window
     return sent.groupBy("bucket").applyInArrow(confirm, BACK)
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:long,length:long>>"
+RESULT = StructType(
+    [
+        StructField("n_words", LongType()),
+        StructField("n_removed", LongType()),
+        StructField("kept", StringType()),
+        StructField("repeats", ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))),
+    ]
+)
 REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
-def _kept(ids: pa.Array, texts: pa.Array, removed: dict[int, np.ndarray], window: int) -> pa.Table:
+def _kept(rows: pa.Table, removed: dict[int, np.ndarray], window: int) -> pa.Table:
+    """``rows`` (all but the bucket) with the columns of ``RESULT``."""
     n, gone, kept, spans = [], [], [], []
-    for d, text in zip(ids.to_pylist(), texts):
+    for d, text in zip(rows.column("doc_id").to_pylist(), rows.column("text")):
         words = text.as_buffer().to_pybytes().split() if text.is_valid else []
         starts = removed.get(d)
         n.append(len(words))
@@ -277,9 +286,8 @@ def _kept(ids: pa.Array, texts: pa.Array, removed: dict[int, np.ndarray], window
         if starts is not None:
             starts = np.sort(starts[starts + window <= len(words)])
             new = np.concatenate([[True], np.diff(starts) > window]) if len(starts) else np.zeros(0, bool)
-            firsts = starts[new]
             ends = starts[np.concatenate([new[1:], [True]])] + window if len(starts) else starts
-            runs = list(zip(firsts.tolist(), ends.tolist()))
+            runs = list(zip(starts[new].tolist(), ends.tolist()))
         rest, at = [], 0
         for a, z in runs:
             rest += words[at:a]
@@ -288,29 +296,33 @@ def _kept(ids: pa.Array, texts: pa.Array, removed: dict[int, np.ndarray], window
         gone.append(len(words) - len(rest))
         kept.append(b" ".join(rest).decode())
         spans.append([{"start": a, "length": z - a} for a, z in runs])
-    return pa.table({"doc_id": ids.cast(pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string()), "repeats": pa.array(spans, REPEATS)})
+    new = {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string()), "repeats": pa.array(spans, REPEATS)}
+    for name, column in new.items():
+        rows = rows.append_column(name, column)
+    return rows
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: number of words, how many go, the kept words joined by one space, and the maximal repeats."""
+    """``docs`` with ``n_words``, ``n_removed``, ``kept`` (the kept words joined by one space) and ``repeats`` (the
+    maximal repeats that go, as word ranges). Columns of these names and ``bucket`` are replaced."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = partitions(docs)
+    docs = docs.drop(*RESULT.names, "bucket").withColumn("doc_id", F.col("doc_id").cast("long"))
+    buckets = partitions(docs.select("doc_id", "text"))
     groups = 2 * buckets
     known = docs.where("doc_id is not null")
     marks = written(anchors(known, buckets, groups, window), "anchors")
     released(docs.sparkSession)
     dealt = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     again = repeats(dealt, marks, buckets, groups, window)
+    schema = StructType([*docs.schema.fields, *RESULT.fields])
+    names = docs.columns
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _kept(pa.array([], pa.int64()), pa.array([], pa.string()), {}, window)
-        return _kept(left.column("doc_id").combine_chunks(), left.column("text").combine_chunks(), _marked(right), window)
+        return _kept(left.select(names), _marked(right), window)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _kept(batch.column(0), batch.column(1), {}, window).to_batches()
+            yield from _kept(pa.Table.from_batches([batch]), {}, window).to_batches()
 
-    cut = dealt.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(remove, RESULT)
-    return cut.unionByName(map_arrow(docs.where("doc_id is null"), untouched, RESULT))
+    cut = dealt.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(remove, schema)
+    return cut.unionByName(map_arrow(docs.where("doc_id is null"), untouched, schema))
