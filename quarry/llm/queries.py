@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embeddings, html, media, packing, quality, secrets, simhash, substring
+from quarry.llm import bpe, embeddings, html, media, packing, quality, secrets, simhash, substring, tokenfile
 from quarry.llm.common import table
 
 END_ID = 2
@@ -41,6 +41,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_token_ids": op7_token_ids,
     "op8_html": op8_html,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
