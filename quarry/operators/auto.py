@@ -103,7 +103,7 @@ def auto_numeric_shape(df: DataFrame, columns=None) -> Step:
             "is_negative": (x < 0).cast("int"),
             "is_whole": whole.cast("int"),
             "decimal_places": F.when(x.isNotNull(), F.length(fraction)),
-            "integer_digits": F.when(x.isNotNull(), F.length(F.format_string("%.0f", F.floor(size)))),
+            "integer_digits": F.when(x.isNotNull(), F.length(F.format_string("%.0f", F.floor(size).cast("double")))),
             "first_digit": F.when(x.isNotNull(), F.substring(F.format_string("%.6e", size), 1, 1).cast("int")),
             "magnitude": F.when(size > 0, F.floor(F.log10(size)).cast("int")),
             "is_round": F.when(x.isNotNull(), (whole & (x % 10 == 0)).cast("int")),

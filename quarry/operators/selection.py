@@ -41,19 +41,24 @@ def resolve_task(df: DataFrame, target: str, task: str | None = None) -> str:
 
 def screen_features(df: DataFrame, features=None, max_missing_rate: float = MAX_MISSING_RATE, quasi_constant_share: float = QUASI_CONSTANT_SHARE, id_like_share: float = ID_LIKE_SHARE) -> DataFrame:
     """``column`` and ``reason`` of the columns not worth ranking: empty, constant, quasi_constant, high_missing,
-    id_like, date_column or duplicate (of an earlier column: equal fingerprints over all rows)."""
+    id_like, date_column or duplicate (of an earlier column: equal sums of hashes, then equal in every row)."""
     columns = columns_of(df, features)
     kinds = column_kinds(df, columns)
-    place = ordered(df)
     n = df.count()
-    hashes = {c: F.sum((F.xxhash64(key(df, c), *map(quoted, place)) if place else F.xxhash64(key(df, c), F.monotonically_increasing_id())).cast("decimal(38,0)")) for c in columns}
+    hashes = {c: F.sum(F.xxhash64(key(df, c)).cast("decimal(38,0)")) for c in columns}
     row = one_row(df, *(f for c in columns for f in (F.count_if(missing(df, c)).alias(f"h {c}"), F.count_distinct(F.when(~missing(df, c), key(df, c))).alias(f"d {c}"), hashes[c].alias(f"f {c}"))))
     top = {}
     for c in columns:
         if 1 < row[f"d {c}"] <= max(2, n * (1 - quasi_constant_share) + 1):
             counted = df.where(~missing(df, c)).groupBy(key(df, c).alias("k")).count()
             top[c] = counted.agg(F.max("count")).head()[0]
-    out, seen = [], {}
+    alike = [(a, b) for a, b in combinations(columns, 2) if row[f"f {a}"] == row[f"f {b}"]]
+    same = one_row(df, *((F.count_if(key(df, a) != key(df, b)) == 0).alias(f"{k}") for k, (a, b) in enumerate(alike))) if alike else {}
+    twin: dict[str, str] = {}
+    for k, (a, b) in enumerate(alike):
+        if same[f"{k}"]:
+            twin.setdefault(b, a)
+    out = []
     for c in columns:
         there, distinct = n - row[f"h {c}"], row[f"d {c}"]
         if not there:
@@ -68,11 +73,8 @@ def screen_features(df: DataFrame, features=None, max_missing_rate: float = MAX_
             reason = "date_column"
         elif distinct > 20 and distinct >= id_like_share * there:
             reason = "id_like"
-        elif row[f"f {c}"] in seen:
-            reason = f"duplicate of {seen[row[f'f {c}']]}"
         else:
-            reason = None
-        seen.setdefault(row[f"f {c}"], c)
+            reason = f"duplicate of {twin[c]}" if c in twin else None
         if reason:
             out.append((c, reason))
     return df.sparkSession.createDataFrame(out, "column string, reason string")
