@@ -22,9 +22,7 @@ def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (null and empty texts are scored like any other)."""
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    score = model.score({k: F.col(f"_stats.{k}") for k in quality.statistics(F.col("text"))})
-    stats = F.struct(*(c.alias(k) for k, c in quality.statistics(F.col("text")).items()))
-    return docs.withColumn("_stats", stats).where(score >= quality.THRESHOLD).select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,10 +170,24 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     return fit(data, "label", list(stats))
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 if the score reaches the threshold)."""
+def _measured(docs: DataFrame, model: Model) -> DataFrame:
+    """``_row`` (a document), ``_score`` and ``_at``.
+
+    The statistics are a projection of their own, which nothing moves or merges because ``_at`` is not deterministic:
+    a filter on the score would else be pushed below it, with the statistics repeated for every rule that reads them.
+    """
     stats = statistics(F.col("text"))
-    held = docs.select(F.struct("*").alias("_row"), F.struct(*(c.alias(k) for k, c in stats.items())).alias("_stats"))
-    score = model.score({k: F.col(f"_stats.{k}") for k in stats})
-    out = held.select("_row", score.alias("_score"))
-    return out.select("_row.*", F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
+    rows = docs.select(F.struct("*").alias("_row"), F.struct(*(c.alias(k) for k, c in stats.items())).alias("_stats"), F.monotonically_increasing_id().alias("_at"))
+    return rows.select("_row", model.score({k: F.col(f"_stats.{k}") for k in stats}).alias("_score"), "_at")
+
+
+def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (1 if the score reaches the threshold); columns of these names are
+    replaced."""
+    rows = _measured(docs.drop("score", "predicted"), model)
+    return rows.select("_row.*", F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold."""
+    return _measured(docs, model).where((F.col("_score") >= threshold) & (F.col("_at") >= 0)).select("_row.*")
