@@ -16,7 +16,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import Memo, distinct_words, gathered, map_arrow
+from quarry.llm.common import Memo, distinct_words, gathered, map_arrow, resident
 
 #: Entries that each of a worker's memos may hold before it starts again.
 MEMO = 500_000
@@ -160,10 +159,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process."""
-    return Codec(path, pattern)
+    return resident(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,9 +47,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` after making sure that the workers can import this package."""
+    """``mapInArrow`` after making sure that the workers can import this package; memory goes back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trimmed()
+
+    return df.mapInArrow(run, schema)
+
+
+def trimmed() -> None:
+    """Give what a worker has freed back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]):
+    """A worker's one large object (a codec with its memos): a task with another key replaces it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import Memo, distinct_words, map_arrow
+from quarry.llm.common import Memo, distinct_words, map_arrow, resident
 
 # Fixed patterns of the base kinds; letters of the first in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,7 +47,7 @@ OPENING = re.compile(r"""["'(<\[{]*(?:gh[opsu]_|github_pat_|sk[-_]|pk_|rk_|xox[a
 ARMOUR = re.compile(r"-----(BEGIN|END)")
 TAGS = 3  # outside, begin, inside
 FEATURES = 32
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -358,12 +358,10 @@ class Scanner:
         return found
 
 
-_SCANNERS: dict[int, Scanner] = {}
-
-
 def _scanner(weights: dict[str, np.ndarray]) -> Scanner:
+    """One per worker process."""
     key = hash(b"".join(np.ascontiguousarray(v).tobytes() for v in weights.values()))
-    return _SCANNERS.setdefault(key, Scanner(weights))
+    return resident(("secrets", key), lambda: Scanner(weights))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

@@ -12,17 +12,16 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from quarry.llm.common import Memo, distinct_words, gathered
+from quarry.llm.common import Memo, distinct_words, gathered, resident
 
 #: Words and pieces that a worker's memos may hold before they start again.
-WORDS, PIECES = 400_000, 800_000
+WORDS, PIECES = 250_000, 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -100,7 +99,6 @@ class Words:
                 yield (a, *self.encode(texts.slice(a, z - a)))
 
 
-@lru_cache(maxsize=2)
 def words(path: str) -> Words:
     """One per worker process."""
-    return Words(path)
+    return resident(("words", path), lambda: Words(path))
