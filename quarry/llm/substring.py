@@ -217,11 +217,26 @@ def anchors(docs: DataFrame, buckets: int, groups: int, window: int = WINDOW) ->
     return sent.groupBy("bucket").applyInArrow(meet, BACK)
 
 
+def _bases(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Where each row's positions begin: rows that share a ``doc_id`` follow each other, by text."""
+    bases = np.zeros(len(ids), np.int64)
+    _, first, times = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[first] > 1).tolist()
+    if shared:
+        words = {i: (texts[i].as_py() or "").encode().split() for i in shared}
+        at: dict[int, int] = {}
+        for i in sorted(shared, key=lambda i: (ids[i], words[i])):
+            bases[i] = at.get(int(ids[i]), 0)
+            at[int(ids[i])] = int(bases[i]) + len(words[i])
+    return bases
+
+
 def _windows(texts: pa.Array, ids: np.ndarray, marks: dict[int, np.ndarray], window: int) -> Iterator[tuple]:
     """(doc, start, hash, more hash) of the windows that contain a mark."""
     block = window // 2
+    bases = _bases(texts, ids)
     some = np.array([i for i, d in enumerate(ids.tolist()) if d in marks], np.int64)
-    texts, ids = texts.take(pa.array(some)), ids[some]
+    texts, ids, bases = texts.take(pa.array(some)), ids[some], bases[some]
     for a, z in _runs(texts):
         t = Hashed(texts.slice(a, z - a), 2)
         sizes = np.diff(t.offsets)
@@ -236,7 +251,7 @@ def _windows(texts: pa.Array, ids: np.ndarray, marks: dict[int, np.ndarray], win
         last = np.repeat(t.offsets[1:] - window, sizes)
         at = np.flatnonzero(inside & (np.arange(len(t.words)) <= last))
         if len(at):
-            yield np.repeat(ids[a:z], sizes)[at], at - starts[at], t.rolling(window, 0)[at], t.rolling(window, 1)[at]
+            yield np.repeat(ids[a:z], sizes)[at], at - starts[at] + np.repeat(bases[a:z], sizes)[at], t.rolling(window, 0)[at], t.rolling(window, 1)[at]
 
 
 def repeats(docs: DataFrame, marks: DataFrame, buckets: int, groups: int, window: int = WINDOW) -> DataFrame:
@@ -278,13 +293,15 @@ REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 def _kept(rows: pa.Table, removed: dict[int, np.ndarray], window: int) -> pa.Table:
     """``rows`` (all but the bucket) with the columns of ``RESULT``."""
     n, gone, kept, spans = [], [], [], []
-    for d, text in zip(rows.column("doc_id").to_pylist(), rows.column("text")):
+    texts, ids = rows.column("text").combine_chunks(), rows.column("doc_id").combine_chunks()
+    bases = _bases(texts, ids.to_numpy(zero_copy_only=False)) if removed else np.zeros(rows.num_rows, np.int64)
+    for d, text, base in zip(ids.to_pylist(), texts, bases.tolist()):
         words = text.as_buffer().to_pybytes().split() if text.is_valid else []
         starts = removed.get(d)
         n.append(len(words))
         runs: list[tuple[int, int]] = []
         if starts is not None:
-            starts = np.sort(starts[starts + window <= len(words)])
+            starts = np.sort(starts[(starts >= base) & (starts + window <= base + len(words))]) - base
             new = np.concatenate([[True], np.diff(starts) > window]) if len(starts) else np.zeros(0, bool)
             ends = starts[np.concatenate([new[1:], [True]])] + window if len(starts) else starts
             runs = list(zip(starts[new].tolist(), ends.tolist()))
