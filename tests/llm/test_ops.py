@@ -340,7 +340,7 @@ def test_token_files(spark, monkeypatch):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="page"><div class="strap">Always here</div><div class="body"><h1>Title {n}</h1><p>First&nbsp;&amp; {n}<br>line<p>Second <a href="x">link</a>
-text {n}<ul><li>one {n}<li>two {n}</ul><form><input>F</form></div></div><section id="comments"><p>reader {n}</p></section><aside>side</aside><footer>foot</footer><script>var x = "</p>";</script></body></html>"""
+text {n}<ul><li>one {n}<li>two {n}</ul><form><input>F</form></div></div><section id="comments"><p>reader {n}</p></section><div class="siteHeader">top {n}</div><div id="readerComments">and {n}</div><aside>side</aside><footer>foot</footer><script>var x = "</p>";</script></body></html>"""
 
 
 def test_html(spark):
