@@ -7,7 +7,7 @@ every word; a hash that meets a block of another document anchors a repeat on bo
 the windows that contain it, a window is confirmed by 96 more bits of hash over all its words, and runs of confirmed
 windows are the maximal exact repeats.
 
-Two passes over the texts, each a shuffle of packed integers dealt by hash: block and rolling hashes first (6 bytes
+Two passes over the texts, each a shuffle of packed integers dealt by hash: block and rolling hashes first (5 bytes
 and a packed position a word), then only windows beside an anchor. A hash finds its least document by a sort in its
 bucket, so a passage that thousands of documents share costs its occurrences and not their pairs. The texts are
 shuffled once, by document, and that exchange serves both extension and removal.
@@ -177,7 +177,7 @@ def anchors(docs: DataFrame, buckets: int, groups: int, window: int = WINDOW) ->
         def out() -> Iterator[pa.RecordBatch]:
             doc, pos, h = (np.concatenate(x) for x in zip(*held))
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            yield from _dealt(bucket.astype(np.int32), doc, pos, [(h, 6)])
+            yield from _dealt(bucket.astype(np.int32), doc, pos, [(h, 5)])
             held.clear()
 
         for batch in batches:
@@ -196,7 +196,7 @@ def anchors(docs: DataFrame, buckets: int, groups: int, window: int = WINDOW) ->
             yield from out()
 
     def meet(t: pa.Table) -> pa.Table:
-        doc, pos, (h,) = _opened(t, [6])
+        doc, pos, (h,) = _opened(t, [5])
         order = np.argsort(h)
         h = h[order]
         same = np.concatenate([[False], h[1:] == h[:-1]])
