@@ -382,10 +382,8 @@ def leakage_suspects(df: DataFrame, target: str, features, task: str | None = No
 
 
 def redundant_pairs(df: DataFrame, features, threshold: float = MAX_CORRELATION, max_rows: int | None = None) -> DataFrame:
-    """``a``, ``b`` and ``association`` from the threshold on, among the first 120 features: |r| of numbers, Cramer's V
-    of categories, correlation ratio of both."""
-    from quarry.operators.profile import correlation_ratio
-
+    """``a``, ``b`` and ``association`` from the threshold on, among the first 120 features: |r| of numbers (all pairs
+    in one aggregate), Cramer's V of categories, correlation ratio of both (one aggregate a category)."""
     columns = names_of(features)[:MAX_COMPARED]
     df = sampled(df, max_rows)
     kinds = column_kinds(df, columns)
@@ -394,19 +392,35 @@ def redundant_pairs(df: DataFrame, features, threshold: float = MAX_CORRELATION,
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_r(number(df, a), number(df, b)).alias("association")) for a, b in combinations(numeric, 2)]
     if pairs:
         out = out.unionByName(df.agg(F.array(*pairs).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
-    for a, b in combinations(columns, 2):
-        if a in numeric and b in numeric:
-            continue
-        if a not in numeric and b not in numeric:
-            t = _totals(_joint(df.where(~missing(df, a) & ~missing(df, b)), key(df, a), key(df, b)))
-            part = t.agg(_v().alias("association"))
-        else:
-            x, g = (a, b) if a in numeric else (b, a)
-            part = correlation_ratio(df, number(df, x), F.when(~missing(df, g), key(df, g))).select(F.col("eta").alias("association"))
-        out = out.unionByName(part.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "association"))
+    categories = [c for c in columns if c not in numeric]
+    for a, b in combinations(categories, 2):
+        t = _totals(_joint(df.where(~missing(df, a) & ~missing(df, b)), key(df, a), key(df, b)))
+        out = out.unionByName(t.agg(_v().alias("association")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "association"))
+    mixed = []
+    for g in categories if numeric else ():
+        for r in _ratios(df, numeric, g):
+            x = r["x"]
+            a, b = (x, g) if columns.index(x) < columns.index(g) else (g, x)
+            mixed.append((a, b, r["eta"]))
+    if mixed:
+        out = out.unionByName(df.sparkSession.createDataFrame(mixed, "a string, b string, association double"))
     return out.where(F.col("association") >= threshold).orderBy(F.desc("association"), "a", "b")
 
 
+def _ratios(df: DataFrame, numeric: list[str], group: str) -> list:
+    """``x`` and ``eta``: correlation ratios of all numeric columns by one category, in one aggregate over its levels."""
+    there = df.where(~missing(df, group))
+    g = there.groupBy(key(df, group).alias("g")).agg(*(f for i, c in enumerate(numeric) for x in (number(df, c),) for f in (F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"))))
+    each = []
+    for i, c in enumerate(numeric):
+        n, m, v = F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"v{i}")
+        total, k = F.sum(n), F.count_if(n > 0)
+        between = F.greatest(F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.nullif(total, F.lit(0)), F.lit(0.0))
+        eta = F.sqrt(F.try_divide(between, between + F.sum(n * v)))
+        each.append(F.struct(F.lit(c).alias("x"), F.when((total >= 3) & (k >= 2), eta).alias("eta")))
+    return [r["c"] for r in g.agg(F.array(*each).alias("c")).select(F.explode("c").alias("c")).collect() if r["c"]["eta"] is not None]
+
+
 def _pair_r(x: Column, y: Column) -> Column:
     a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.least(F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))), F.lit(1.0))
