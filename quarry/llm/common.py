@@ -51,7 +51,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _USED.clear()
         yield from fn(batches)
+        if not _USED:
+            _RESIDENT.clear()  # of an earlier stage
         trimmed()
 
     return df.mapInArrow(run, schema)
@@ -71,10 +74,12 @@ def trimmed() -> None:
 
 
 _RESIDENT: dict[object, object] = {}
+_USED: set[object] = set()
 
 
 def resident(key: object, make: Callable[[], object]):
-    """A worker's one large object (a codec with its memos): a task with another key replaces it."""
+    """A worker's one large object (a codec with its memos): a task with another key, or without one, drops it."""
+    _USED.add(key)
     if key not in _RESIDENT:
         _RESIDENT.clear()
         _RESIDENT[key] = make()

@@ -36,7 +36,7 @@ WINDOW = 50
 BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: Entries that a task gathers before it deals them out.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bytes of text that are hashed together.
 RUN = 8 << 20
 
