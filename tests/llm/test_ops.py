@@ -361,6 +361,28 @@ def test_wrapper_finds_template_and_slot():
     assert html.main_text("<body>" + "<div>" * 500 + "deep" + "</div>" * 500) == "deep"
 
 
+STORY = "Part {k} of story {n} tells of the day when {n} ships came home"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div id=top><a href=/>Site</a></div><div id=content>{0}</div><div id=more><a href=x>See also {n}</a></div></body>",
+        "<body><div class=top><a href=/>Site</a></div><div class=section><p>{0}</p></div><div class=section><p>{1}</p></div><div class=section><p>{2}</p></div></body>",
+        "<body><div class=top>Site</div><div class=body><blockquote>{0}</blockquote><blockquote>{1}</blockquote><p>{2}</p></div></body>",
+        "<body><table><tr><td><a href=/>Site</a></td><td>{0}</td></tr><tr><td>{1}</td></tr></table></body>",
+        "<body><div class=top>Site</div><div class=lead><p>By no one, {n}</p></div><div class=body><p>{0}</p><p>{1}</p><p>{2}</p></div></body>",
+    ],
+)
+def test_stories_without_article_are_whole(page):
+    pages = {n: page.format(*(STORY.format(k=k, n=n) for k in range(3)), n=n) for n in range(100, 106)}
+    wrapper = html.induced(list(pages.values()))
+    for n, text in pages.items():
+        want = [f"By no one, {n}"] * ("By no one" in page) + [STORY.format(k=k, n=n) for k in range(3) if f"{{{k}}}" in page]
+        got = html.main_text(text, wrapper).split("\n")
+        assert got == want or got == [*want, f"See also {n}"] and "id=more" in page  # it has the slot's label too
+
+
 def test_simple_tree_matching_by_hand():
     a = html.skeleton(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
     b = html.skeleton(html.parse("<div><p>1</p><p>2</p><ul><li>y</li></ul></div>"))
