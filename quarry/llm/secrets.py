@@ -9,8 +9,8 @@ Most words are prose whose best tag cannot depend on the rest: where "outside" l
 the next word's begin-inside difference could undo, it is the tag in every best path (``Scanner.sure``). The Viterbi
 steps run between such words only, which gives exactly the tags of the full decoding.
 
-Pattern matches always stay; a tagged run is added as kind ``crf`` when it overlaps none of them. Offsets are code
-points, ends exclusive.
+Pattern matches always stay; a tagged run is added whole as kind ``crf`` unless one of them holds all of it: a run that
+only overlaps a match says what the match misses. Offsets are code points, ends exclusive.
 
 Cases: null or blank text has no spans; very long texts and repeated rows are scanned whole; an empty table gives no
 rows.
@@ -352,7 +352,7 @@ class Scanner:
                     while z < len(own) and own[z] == 2:
                         z += 1
                     a, b = at[t][0], at[z - 1][1]
-                    if not any(x < b and a < y for x, y, _ in base):
+                    if not any(x <= a and b <= y for x, y, _ in base):
                         more.append((a, b, "crf"))
             found[i] = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
         return found

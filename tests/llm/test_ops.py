@@ -269,6 +269,25 @@ def test_secrets(spark):
     assert secrets.redact("abcdef", [(0, 3, "a"), (2, 5, "b")]) == "[SECRET]f"
 
 
+def test_runs_that_overlap_a_pattern_stay():
+    scanner = secrets.Scanner(secrets.model())
+    rng = random.Random(5)
+    body = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(3)]
+    key = lambda kind: "\n".join([f"-----BEGIN {kind}KEY-----", *body, f"-----END {kind}KEY-----"])
+    cases = {
+        f"secret: {key('PRIVATE ')} goes on": "[SECRET] goes on",
+        "use password=Summer#2024xyz at home": "use [SECRET] at home",
+        'sent {"password":"hunter22","gh":"ghp_a8Bc0DeF1gHiJ2kLmN3oPqRsT4uV"} to them': "sent [SECRET] to them",
+        "use password=hunter22222 now": "use [SECRET] now",
+    }
+    armoured = f"secret: {key('RSA PRIVATE ')}"
+    assert not any(line in secrets.redact(armoured, scanner.scan([armoured])[0]) for line in body)
+    for text, found in zip(cases, scanner.scan(list(cases))):
+        assert secrets.redact(text, found) == cases[text]
+        assert [s for s in found if s[2] != "crf"] == secrets.base_spans(text)
+    assert [k for _, _, k in found] == ["assign"]  # the last run lies wholly inside its match
+
+
 def test_pruned_viterbi_is_the_full_one():
     scanner = secrets.Scanner(secrets.model())
     rng = random.Random(11)
