@@ -20,6 +20,8 @@ FLAG = "_is_missing"
 NEIGHBOURS, MAX_DONORS = 5, 2000
 RIDGE = 1e-6
 MOSTLY_MISSING = 0.5
+#: Present values of a bucket, about, when they are numbered to draw from.
+DEALT = 100_000
 RELATED_GAP, EVIDENCE_COLUMNS = 0.2, 40
 Filled = tuple[DataFrame, list[str]]
 
@@ -344,22 +346,30 @@ def impute_regression(df: DataFrame, columns=(), feature_columns=(), rounds: int
 
 
 def impute_random_sample(df: DataFrame, columns=(), seed: int = 0, indicators: bool = True, order=None) -> Filled:
-    """A seeded draw from the column's present values: a row's hash picks an index among them, joined by index."""
+    """A seeded draw from all of the column's present values: they are numbered from 0, and a row's hash picks a number.
+
+    Values are dealt to buckets by a hash of their rows and numbered bucket by bucket, after the totals of the buckets
+    before; no task sorts everything. Every row is as likely to be drawn, so a value keeps its frequency.
+    """
     wanted = _wanted(df, columns)
     df = flagged(df, wanted) if indicators else df
     for c in wanted:
         place = ordered(df, order)
-        donors = df.where(~missing(df, c)).select(quoted(c).alias("_value"), *(quoted(p).alias(f"_p{i}") for i, p in enumerate(place)))
+        names = place or df.columns
+        donors = df.where(~missing(df, c)).select(quoted(c).alias("_value"), F.xxhash64(*map(quoted, names)).alias("_hash"), *(quoted(p).alias(f"_p{i}") for i, p in enumerate(place)))
         n = donors.count()
         if not n:
             continue
-        slots = max(1, min(n, 4096))
-        mine = F.xxhash64(F.lit(seed), *(map(quoted, place or df.columns)))
-        pool = donors.withColumn("_slot", F.pmod(F.xxhash64(F.lit(seed + 1), *(F.col(f"_p{i}") for i in range(len(place))), F.col("_value")), F.lit(slots)))
-        pool = pool.groupBy("_slot").agg(F.min_by("_value", F.xxhash64("_value", *(F.col(f"_p{i}") for i in range(len(place))))).alias("_draw"))
-        lowest = modes(df, [c])[c]
-        df = df.withColumn("_slot", F.pmod(mine, F.lit(slots))).join(pool, "_slot", "left")
-        df = filled(df, c, F.coalesce(F.col("_draw"), F.lit(lowest))).drop("_slot", "_draw")
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pool = donors.withColumn("_bucket", F.pmod("_hash", F.lit(max(least, n // DEALT))))
+        totals = pool.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # one row a bucket
+        before = totals.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+        number_ = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *(f"_p{i}" for i in range(len(place))), "_value")) - 1
+        pool = pool.withColumn("_at", number_).join(before, "_bucket").select((F.col("_before") + F.col("_at")).alias("_slot"), F.col("_value").alias("_draw"))
+        # rows that nothing tells apart draw each for itself
+        mine = F.xxhash64(F.lit(seed), F.lit(c), *map(quoted, names), *([] if place else [F.monotonically_increasing_id()]))
+        df = df.withColumn("_slot", F.pmod(mine, F.lit(n))).join(pool, "_slot", "left")
+        df = filled(df, c, F.col("_draw")).drop("_slot", "_draw")
     return df, wanted
 
 

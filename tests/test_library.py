@@ -168,6 +168,21 @@ def test_fills(spark):
     assert set(drawn) <= {1.0, 3.0, 9.0} and drawn == fill(missing.impute_random_sample(df, ["x"], 3, order=["id"]))
 
 
+def test_random_fills_draw_from_all_present_values(spark):
+    n = 10_000
+    df = spark.range(2 * n).select(F.col("id"), F.when(F.col("id") < n, F.col("id").cast("double")).alias("x"))
+    drawn = [r["x"] for r in missing.impute_random_sample(df, ["x"], 3, order=["id"])[0].where(f"id >= {n}").collect()]
+    assert len(drawn) == n and set(drawn) <= set(map(float, range(n)))
+    assert 6100 < len(set(drawn)) < 6550  # 1 - 1/e of the values, as draws with replacement give
+    assert max(map(drawn.count, set(drawn[:2000]))) < 12
+    few = spark.range(4020).select(F.col("id"), F.when(F.col("id") < 20, F.col("id").cast("double")).alias("x"))
+    drawn = [r["x"] for r in missing.impute_random_sample(few, ["x"], 3, order=["id"])[0].where("id >= 20").collect()]
+    assert all(140 < drawn.count(float(v)) < 260 for v in range(20))
+    plain = spark.range(3000).select(F.when(F.col("id") < 900, "a").when(F.col("id") < 1000, "b").alias("s"))  # rows without an order
+    out = missing.impute_random_sample(plain, ["s"], 3)[0].where("s_is_missing = 1").groupBy("s").count().collect()
+    assert 120 < {r["s"]: r["count"] for r in out}["b"] < 280
+
+
 def test_model_fills_follow_a_line(spark):
     data = [(i, float(i), None if i % 7 == 3 else 2.0 * i + 1) for i in range(60)]
     df = table(spark, data, "id int, x double, y double")
