@@ -402,6 +402,24 @@ def test_stories_without_article_are_whole(page):
         assert got == want or got == [*want, f"See also {n}"] and "id=more" in page  # it has the slot's label too
 
 
+def test_template_is_counted_over_all_pages_by_layout(spark):
+    text = lambda k, n: STORY.format(k=k, n=f"{n} of {hashlib.md5(str(n).encode()).hexdigest()}")
+    rows = []
+    for n in range(60):  # two layouts; boilerplate in the middle of a long list
+        lines = "".join(f"<p>{text(k, n)}</p>" for k in range(40))
+        rows.append(("http://two.example/", f"<body class=a><div class=x1><p>Major line</p></div><div class=b>{lines}<p>Middle line</p>{lines}</div></body>", [text(k, n) for k in range(40)] * 2))
+    for n in range(60, 70):
+        rows.append(("http://two.example/", f"<body class=m><div class=x2><p>Minor line</p></div><div class=b><p>{text(0, n)}</p><p>{text(1, n)}</p></div></body>", [text(0, n), text(1, n)]))
+    for n in range(40):  # near copies of one story, and a few others
+        story = 1000 if n < 36 else 1000 + n
+        body = "".join(f"<p>{text(k, story)}</p>" for k in range(3))
+        rows.append(("http://one.example/", f"<body><div class=x>Same line</div><div class=b><h1>Title {story}</h1>{body}</div><div class=y>{n} readers</div></body>", [f"Title {story}", *(text(k, story) for k in range(3)), f"{n} readers"]))
+    pages = spark.createDataFrame([(i, f"{host}{i}", page) for i, (host, page, _) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"].split("\n") for r in html.extracted(pages.repartition(3)).collect()}
+    for i, (_, _, want) in enumerate(rows):
+        assert out[i] == want
+
+
 def test_simple_tree_matching_by_hand():
     a = html.skeleton(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
     b = html.skeleton(html.parse("<div><p>1</p><p>2</p><ul><li>y</li></ul></div>"))
