@@ -420,6 +420,12 @@ def test_template_is_counted_over_all_pages_by_layout(spark):
         assert out[i] == want
 
 
+def test_text_after_and_inside_deep_parts():
+    deep = "<div>" * 150 + "deep<nav><div>menu</div></nav><div>er</div>still" + "</div>" * 150
+    assert html.main_text(f"<body><div><article><h1>A</h1>{deep}<p>after</p></article></div>outside</body>") == "A\ndeep\ner\nstill\nafter"
+    assert html.main_text("<body>" + "<div>" * 200 + "<form><div><b>x</b></div></form>in" + "</div>" * 200 + "<p>out</p></body>") == "in\nout"
+
+
 def test_simple_tree_matching_by_hand():
     a = html.skeleton(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
     b = html.skeleton(html.parse("<div><p>1</p><p>2</p><ul><li>y</li></ul></div>"))
