@@ -26,9 +26,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least ``doc_id`` of each near-duplicate group, once; rows without ``doc_id`` all stay."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the least ``doc_id`` of each near-duplicate group, once; rows without ``doc_id`` all stay.
+
+    Rows that share a ``doc_id`` are told apart by their fingerprint, so each group keeps a row of its own.
+    """
+    of = written(simhash.grouped(docs).where("doc_id is not null"), "groups")
+    first = of.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select("one.*")
+    shared = written(of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared")
+    known = docs.join(first.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    if not shared.isEmpty():
+        rows = simhash.marked(docs.join(shared, "doc_id", "left_semi")).join(first, ["doc_id", "fp"], "left_semi")
+        known = known.unionByName(rows.dropDuplicates(["doc_id", "fp"]).drop("fp"))
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

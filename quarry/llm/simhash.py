@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import components, forest, map_arrow, partitions, planes, ship, unplanes, written
 
@@ -194,13 +195,30 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_arrow(spread.select("i", "j", "x", "y"), compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id`` of every row."""
+def marked(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with ``fp``, the fingerprint of ``text``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = fingerprints_of(batch.column(at).to_numpy(zero_copy_only=False).tolist(), width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "fp"])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``fp``, ``root`` (one a group) and ``component_id`` of every row."""
     prints = written(fingerprints(docs, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id`` of every row."""
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return grouped(docs, radius, width).select("doc_id", digits.alias("fingerprint"), "component_id")

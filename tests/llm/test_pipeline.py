@@ -44,6 +44,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
 
 
+def test_rows_that_share_an_id_stay_one_a_group(spark, tmp_path):
+    docs, texts = made(spark, random.Random(3))
+    rows = [(1, texts[1]), (1, texts[2]), (1, texts[2]), (5, texts[2]), (5, texts[6]), (7, texts[7]), (8, texts[7]), (None, texts[7])]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t), "more") for i, t in rows], docs.schema)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    left = [(r["doc_id"], r["text"]) for r in written(stage(spark, given.repartition(3), str(tmp_path)), "t").collect()]
+    want = [(1, texts[1]), (1, texts[2]), (5, texts[6]), (7, texts[7]), (None, texts[7])]
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs, _ = made(spark, random.Random(2))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
