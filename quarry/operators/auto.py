@@ -12,7 +12,6 @@ from quarry.operators.entities import composed
 from quarry.operators.rows import Step, with_columns
 
 MARKER = "__"
-SAMPLE = 400
 TYPED_SHARE = 0.8
 
 # Fixed vocabularies of derived features.
@@ -51,11 +50,14 @@ def source_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ORDER and not is_derived(c)]
 
 
-def column_kinds(df: DataFrame, columns=None, sample: int = SAMPLE) -> dict[str, str]:
-    """empty, boolean, numeric, date or categorical, from the first rows in the table's order."""
+def column_kinds(df: DataFrame, columns=None, sample: int | None = None) -> dict[str, str]:
+    """empty, boolean, numeric, date or categorical, from one aggregate over the whole table.
+
+    ``sample=400`` takes them from the first rows in the table's order, as the reference does.
+    """
     columns = names_of(columns) or source_columns(df)
     place = ordered(df)
-    head = (df.orderBy(*place) if place else df).limit(sample)
+    head = df if sample is None else (df.orderBy(*place) if place else df).limit(sample)
     facts = {}
     for c in columns:
         there = ~missing(df, c)

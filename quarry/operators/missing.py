@@ -217,7 +217,9 @@ def impute_forward(df: DataFrame, columns=(), id_columns=(), date_columns=(), di
 
 def impute_interpolate(df: DataFrame, columns=(), id_columns=(), date_columns=(), method: str = "time", indicators: bool = True, order=None) -> Filled:
     """Numbers on the line between their entity's neighbours, by time (or position, where time does not grow)."""
-    wanted = [c for c in _wanted(df, columns) if column_kinds(df, [c])[c] == "numeric"]
+    wanted = _wanted(df, columns)
+    kinds = column_kinds(df, wanted) if wanted else {}
+    wanted = [c for c in wanted if kinds[c] == "numeric"]
     ids, dates = names_of(id_columns), names_of(date_columns)
     df = flagged(df, wanted) if indicators else df
     w = entity_window(df, ids, dates, order)

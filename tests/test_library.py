@@ -168,6 +168,13 @@ def test_fills(spark):
     assert set(drawn) <= {1.0, 3.0, 9.0} and drawn == fill(missing.impute_random_sample(df, ["x"], 3, order=["id"]))
 
 
+def test_kinds_come_from_the_whole_table(spark):
+    df = spark.range(900).select(F.col("id").alias(ORDER), F.when(F.col("id") >= 500, F.col("id").cast("double")).alias("late"))
+    assert auto.column_kinds(df) == {"late": "numeric"} and auto.column_kinds(df, sample=400) == {"late": "empty"}
+    holed = df.withColumn("late", F.when(F.col(ORDER) != 700, F.col("late")))
+    assert missing.impute_interpolate(holed, order=[ORDER])[0].where(f"{ORDER} = 700").head()["late"] == 700.0
+
+
 def test_random_fills_draw_from_all_present_values(spark):
     n = 10_000
     df = spark.range(2 * n).select(F.col("id"), F.when(F.col("id") < n, F.col("id").cast("double")).alias("x"))
