@@ -17,10 +17,10 @@ TRUE_TOKENS = ("1", "true", "t", "yes", "y")
 BOOLEAN_TOKENS = ("true", "false", "0", "1", "yes", "no", "y", "n", "t", "f")
 PLAIN_BOOLEAN_TOKENS = ("0", "1", "true", "false", "yes", "no")
 
-# Fixed patterns: numbers and ISO dates as text.
+# Fixed patterns: numbers and ISO dates as text. Whole and decimal cells have no leading zeros: 007 is a code.
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 INTEGER = r"^[+-]?(0|[1-9]\d*)$"
-DECIMAL = r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"
+DECIMAL = r"^[+-]?(?=\.?\d)(0|[1-9]\d*)?(\.\d*)?([eE][+-]?\d+)?$"
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 # Date formats in the order they are tried, with the pattern that a text must have.

@@ -170,11 +170,13 @@ def entropy_of(text: Column) -> Column:
 
 
 def shape_of(text: Column) -> Column:
-    """Digits as 9, upper case as A, lower case as a, white space as a space; runs of one sign shortened to one."""
-    t = F.regexp_replace(text, r"\p{Nd}", "9")
-    t = F.regexp_replace(t, r"\p{Lu}", "A")
-    t = F.regexp_replace(t, r"(?![A])\p{L}", "a")
-    return F.regexp_replace(F.regexp_replace(t, r"\s", " "), r"(.)\1+", "$1")
+    """Digits as 9, upper case as A, lower case as a, white space as a space; runs of one sign shortened to one.
+
+    Letters of scripts without case stay as they are.
+    """
+    t = F.regexp_replace(text, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "9")
+    t = F.regexp_replace(F.regexp_replace(t, r"\p{IsUppercase}", "A"), r"\p{IsLowercase}", "a")
+    return F.regexp_replace(F.regexp_replace(t, r"[\s\p{Z}\x1C-\x1F\x85]", " "), r"(.)\1+", "$1")
 
 
 def auto_text_composition(df: DataFrame, columns=None) -> Step:

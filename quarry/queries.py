@@ -109,6 +109,13 @@ def _(t):
     return readers.coerced(text, ["value", "user_id", "event_type"])
 
 
+@query("text_cells_with_leading_zeros", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '00' ELSE '' END || user_id AS code, (user_id / 4.0)::DOUBLE AS part, user_id::VARCHAR || 'e' AS odd FROM events")
+def _(t):
+    user = F.col("user_id").cast("string")
+    text = t("events").select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("00")).otherwise(F.lit("")), user).alias("code"), (F.col("user_id") / 4).cast("string").alias("part"), F.concat(user, F.lit("e")).alias("odd"))
+    return readers.coerced(text, ["code", "part", "odd"])
+
+
 # ---------------------------------------------------------------- dates
 
 PART_SQL = {
@@ -479,6 +486,11 @@ def _(t):
     return auto.auto_text_composition(t("part").select("p_partkey", P), [P])[0].drop(P)
 
 
+@query("text_shape_of_scripts", r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_brand || '-日本-ÉÉé-' || p_size, '[0-9]+', '9', 'g'), '[A-ZÉ]+', 'A', 'g'), '[a-zé]+', 'a', 'g') AS shape FROM part")
+def _(t):
+    return t("part").select("p_partkey", auto.shape_of(F.concat("p_brand", F.lit("-日本-ÉÉé-"), F.col("p_size").cast("string"))).alias("shape"))
+
+
 MAIL = "CASE WHEN event_id % 3 = 0 THEN 'user' || user_id || '@Mail.example.org' WHEN event_id % 3 = 1 THEN 'https://www.site' || user_id || '.example.com/x?y=1' ELSE event_type END"
 
 

@@ -69,6 +69,19 @@ def test_delimited(spark, tmp_path, packed):
         assert short.truncated and short.columns == ["a"] and len(short.head()) == 2
 
 
+def test_codes_with_leading_zeros_stay_text(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("zip,flat,x,y,z\n01234,007,0.5,1e3,.\n10115,12,-.25,+7.,.5\n,?,0,2,1\n")
+    df = readers.read_delimited(spark, str(path)).df.drop(ORDER)
+    assert {f.name: f.dataType.simpleString() for f in df.schema} == {"zip": "string", "flat": "string", "x": "double", "y": "double", "z": "string"}
+    assert [tuple(r) for r in df.collect()] == [("01234", "007", 0.5, 1000.0, "."), ("10115", "12", -0.25, 7.0, ".5"), (None, None, 0.0, 2.0, "1")]
+
+
+def test_shapes_of_letters_without_case(spark):
+    df = table(spark, [(0, "日本-1"), (1, "Ärger 22"), (2, "שלום-A²"), (3, "ǅx\u00a0y")], "id int, t string")
+    assert column(df.select("id", auto.shape_of(F.col("t")).alias("s")), "s") == ["日本-9", "Aa 9", "שלום-A9", "ǅa a"]
+
+
 def test_sniffed_delimiter_and_no_header(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("1;a\n2;b\n")
