@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -172,6 +173,77 @@ def one_row(df: DataFrame, *aggregates: Column) -> dict:
     return df.agg(*aggregates).head().asDict()
 
 
+#: Columns with no more distinct numbers than this are counted value by value in one aggregate; a bracket of this many
+#: rows is sorted as a whole.
+FEW = 200_000
+#: Values or levels that one task ranks.
+RANGE = 100_000
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], at: Sequence[float]) -> dict[str, list[float] | None]:
+    """Exact interpolated quantiles of each named column of doubles; None for a column without numbers.
+
+    Columns with few distinct numbers are counted by value. For the others, the ranks that are asked for are
+    bracketed by sketches, the brackets' sides are counted exactly, and what lies between is bracketed again until it
+    is small: every pass is a partial aggregate over the table, and no task holds more than ``FEW`` numbers.
+    """
+    if not columns:
+        return {}
+    size = one_row(df, *(f for name, x in columns.items() for f in (F.count(x).alias(f"n {name}"), F.approx_count_distinct(x).alias(f"d {name}"))))
+    few = [name for name in columns if size[f"n {name}"] and size[f"d {name}"] <= FEW]
+    out: dict[str, list[float] | None] = dict.fromkeys(columns)
+    if few:
+        out |= one_row(df, *(F.percentile(columns[name], F.array(*(F.lit(float(q)) for q in at))).alias(name) for name in few))
+    many = {name: columns[name] for name in columns if size[f"d {name}"] > FEW}
+    places = {name: [q * (size[f"n {name}"] - 1) for q in at] for name in many}
+    ranks = {(name, r) for name in many for p in places[name] for r in (math.floor(p), math.ceil(p))}
+    found = _ranked(df, many, sorted(ranks), {name: size[f"n {name}"] for name in many})
+    for name in many:
+        low = [(found[name, math.floor(p)], found[name, math.ceil(p)], p - math.floor(p)) for p in places[name]]
+        out[name] = [a + (z - a) * share for a, z, share in low]
+    return out
+
+
+def _ranked(df: DataFrame, columns: dict[str, Column], ranks: list[tuple[str, int]], n: dict[str, int]) -> dict[tuple[str, int], float]:
+    """The number at each (column, 0-based rank), by brackets that shrink."""
+    found: dict[tuple[str, int], float] = {}
+    # values that a bracket lies strictly between (None: no bound), rows up to it, rows below its end
+    brackets: dict[tuple[str, int], tuple[float | None, float | None, int, int]] = {k: (None, None, 0, n[k[0]]) for k in ranks}
+
+    def inside(k: tuple[str, int]) -> Column:
+        x, (low, high, _, _) = columns[k[0]], brackets[k]
+        for bound in ([] if low is None else [columns[k[0]] > F.lit(low)]) + ([] if high is None else [columns[k[0]] < F.lit(high)]):
+            x = F.when(bound, x)
+        return x
+
+    while brackets:
+        small = [k for k, (_, _, below, upto) in brackets.items() if upto - below <= FEW]
+        if small:
+            row = one_row(df, *(F.sort_array(F.collect_list(inside(k)))[k[1] - brackets[k][2]].alias(str(i)) for i, k in enumerate(small)))
+            found |= {k: row[str(i)] for i, k in enumerate(small)}
+            brackets = {k: v for k, v in brackets.items() if k not in found}
+        todo = list(brackets)
+        if not todo:
+            break
+        shares = [(k[1] - brackets[k][2] + 0.5) / (brackets[k][3] - brackets[k][2]) for k in todo]
+        around = [F.array(*(F.lit(min(1.0, max(0.0, share + step))) for step in (-2e-4, 0.0, 2e-4))) for share in shares]
+        cuts = one_row(df, *(F.percentile_approx(inside(k), a, 10_000).alias(str(i)) for i, (k, a) in enumerate(zip(todo, around))))
+        counts = one_row(df, *(F.count_if(test).alias(f"{side} {i} {j}") for i, k in enumerate(todo) for j, v in enumerate(cuts[str(i)]) for side, test in (("lt", columns[k[0]] < F.lit(v)), ("le", columns[k[0]] <= F.lit(v)))))
+        for i, k in enumerate(todo):
+            low, high, below, upto = brackets[k]
+            for j, v in enumerate(cuts[str(i)]):
+                lt, le = counts[f"lt {i} {j}"], counts[f"le {i} {j}"]
+                if lt <= k[1] < le:
+                    found[k] = v
+                elif le <= k[1]:
+                    low, below = v, le
+                elif high is None or v < high:
+                    high, upto = v, lt
+            brackets[k] = (low, high, below, upto)
+        brackets = {k: v for k, v in brackets.items() if k not in found}
+    return found
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or ``name_2``, ``name_3``, if the table has it."""
     if name not in df.columns:
@@ -190,7 +262,47 @@ def sanitized(name: str) -> str:
     return text or "value"
 
 
-def average_ranks(values: DataFrame, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: str, name: str, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with its rows numbered from 0 in ``name``, and how many there are: rows are dealt to buckets by the long
+    ``by`` and numbered bucket by bucket, after the totals of the buckets before; no task sorts everything."""
+    from pyspark.sql import Window
+
+    n = df.count()
+    buckets = buckets or max(16, n // 100_000)
+    dealt = df.withColumn("_bucket", F.pmod(F.col(by), F.lit(buckets)))
+    totals = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # one row a bucket
+    before = totals.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(by)) - 1
+    out = dealt.withColumn("_inside", inside).join(before, "_bucket").withColumn(name, F.col("_before") + F.col("_inside"))
+    return out.drop("_bucket", "_inside", "_before"), n
+
+
+def places(levels: DataFrame) -> DataFrame:
+    """(level, n) with ``place``: 0 for the commonest level, ties by name.
+
+    Levels are dealt to ranges between a bounded sample of them and ranked range by range, after the totals of the
+    ranges before, so no task sorts all levels, be they all alike in count.
+    """
+    from pyspark.sql import Window
+
+    levels = levels.withColumn("_key", F.struct((-F.col("n")).alias("less"), F.col("level").alias("name")))
+    n = levels.count()
+    ranges = min(1024, n // RANGE)
+    part = F.lit(0)
+    if ranges > 1:
+        sample = levels.select("_key").sample(min(1.0, 40 * ranges / n), seed=1).orderBy("_key").limit(80 * ranges).collect()
+        cuts = [sample[i * len(sample) // ranges]["_key"] for i in range(1, ranges)] if len(sample) >= ranges else []
+        bounds = F.array(*(F.struct(F.lit(c["less"]).cast("long").alias("less"), F.lit(c["name"]).alias("name")) for c in cuts))
+        part = F.size(F.filter(bounds, lambda c: c <= F.col("_key"))) if cuts else part
+    levels = levels.withColumn("_part", part)
+    totals = levels.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    out = levels.withColumn("_inside", inside).join(before, "_part")
+    return out.withColumn("place", F.col("_before") + F.col("_inside")).drop("_key", "_part", "_inside", "_before")
+
+
+def average_ranks(values: DataFrame, buckets: int | None = None) -> DataFrame:
     """``value``, ``rank`` (0-based, ties share their mean) and ``n`` of each distinct value of a one-column table.
 
     Distinct values are counted, dealt to ranges by approximate quantiles and ranked range by range, after the totals
@@ -198,8 +310,9 @@ def average_ranks(values: DataFrame, buckets: int = 64) -> DataFrame:
     """
     column = values.columns[0]
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("ties"))
-    cuts = sorted(set(counted.select(F.col("value").cast("double").alias("value")).approxQuantile("value", [i / buckets for i in range(1, buckets)], 0.005)))
-    part = sum((F.col("value").cast("double") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    buckets = buckets or min(4096, max(64, values.agg(F.approx_count_distinct(column).alias("d")).head()["d"] // RANGE))
+    cuts = sorted(set(counted.select(F.col("value").cast("double").alias("value")).approxQuantile("value", [i / buckets for i in range(1, buckets)], 0.3 / buckets)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("value").cast("double"))) if cuts else F.lit(0)
     counted = counted.withColumn("part", part)
     from pyspark.sql import Window
 

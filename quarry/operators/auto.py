@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.values import ORDER, PLAIN_BOOLEAN_TOKENS, TRUE_TOKENS, average_ranks, divided, key, missing, moment, names_of, number, one_row, ordered, quoted, stripped
+from quarry.functions.values import ORDER, PLAIN_BOOLEAN_TOKENS, TRUE_TOKENS, average_ranks, divided, key, missing, moment, names_of, number, one_row, ordered, places, quantiles, quoted, stripped
 from quarry.operators.categories import boolean_flag, levels
 from quarry.operators.dates import part, relative_time
 from quarry.operators.entities import composed
@@ -119,14 +119,15 @@ def auto_column_statistics(df: DataFrame, columns=None) -> Step:
     columns = names_of(columns) or _of_kind(df, "numeric")
     if not columns:
         return df, []
-    facts = one_row(df, *(f for c in columns for x in (number(df, c),) for f in (F.count(x).alias(f"n {c}"), F.avg(x).alias(f"m {c}"), F.stddev_pop(x).alias(f"s {c}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q {c}"))))
+    facts = one_row(df, *(f for c in columns for x in (number(df, c),) for f in (F.count(x).alias(f"n {c}"), F.avg(x).alias(f"m {c}"), F.stddev_pop(x).alias(f"s {c}"))))
     columns = [c for c in columns if facts[f"n {c}"] >= 2]
-    mads = one_row(df, *(F.percentile(F.abs(number(df, c) - F.lit(facts[f"q {c}"][1])), F.lit(0.5)).alias(c) for c in columns)) if columns else {}
+    quarters = quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.5, 0.75])
+    mads = quantiles(df, {c: F.abs(number(df, c) - F.lit(quarters[c][1])) for c in columns}, [0.5])
     names = []
     for c in columns:
         x = number(df, c)
-        q1, median, q3 = facts[f"q {c}"]
-        spread, mad, iqr = facts[f"s {c}"], mads[c], q3 - q1
+        q1, median, q3 = quarters[c]
+        spread, mad, iqr = facts[f"s {c}"], mads[c][0], q3 - q1
         ranks = average_ranks(df.select(x.alias("v"))).select(F.col("value").alias("_v"), divided(F.col("rank"), F.col("n") - 1).alias(f"{c}{MARKER}percentile"))
         none = F.lit(None).cast("double")
         each = {
@@ -213,8 +214,6 @@ def auto_text_patterns(df: DataFrame, columns=None) -> Step:
 
 def auto_category_profile(df: DataFrame, columns=None) -> Step:
     """How common a level is; skipped under two levels or with more levels than half the rows."""
-    from pyspark.sql import Window
-
     names = []
     for c in names_of(columns) or _of_kind(df, "categorical", "boolean"):
         counted = levels(df, c).where("level <> ''")
@@ -222,8 +221,7 @@ def auto_category_profile(df: DataFrame, columns=None) -> Step:
         if f["levels"] < 2 or f["levels"] > 0.5 * df.count():
             continue
         share = divided(F.col("n"), F.lit(f["n"]))
-        sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("ways")).select("n", (F.sum("ways").over(Window.orderBy(F.desc("n"))) - F.col("ways")).alias("before"))
-        ranked = counted.join(sizes, "n").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("level")) - 1)
+        ranked = places(counted).withColumnRenamed("place", "rank")
         each = {"frequency": F.col("n"), "frequency_ratio": share, "rarity_rank": F.col("rank").cast("int"), "is_rare": (share < 0.01).cast("int"), "is_mode": (F.col("rank") == 0).cast("int"), "self_information": -F.log2(share)}
         facts = ranked.select(F.col("level").alias("_of"), *(v.alias(f"{c}{MARKER}{k}") for k, v in each.items()))
         df = df.withColumn("_level", key(df, c)).join(facts, F.col("_level") == F.col("_of"), "left").drop("_level", "_of")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.values import columns_of, divided, key, missing, names_of, one_row, quoted, sanitized
+from quarry.functions.values import columns_of, divided, key, missing, names_of, one_row, places, quoted, sanitized
 from quarry.operators.rows import Step, with_columns
 
 
@@ -48,15 +48,11 @@ def one_hot_encoding(df: DataFrame, categorical_columns=(), max_categories: int
 def ordinal_encoding(df: DataFrame, categorical_columns=()) -> Step:
     """``{column}_ordinal``: 0 for the commonest level (ties by name), null when missing.
 
-    A level's place is the number of more common ones: counts are grouped first, so only distinct counts are ordered.
+    Levels are ranked range by range, so a column of many rare levels does not end in one task.
     """
     names = []
     for c in names_of(categorical_columns):
-        counted = levels(df, c).where("level <> ''")
-        sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("ways"))
-        before = sizes.select("n", (F.sum("ways").over(Window.orderBy(F.desc("n"))) - F.col("ways")).alias("before"))
-        place = F.row_number().over(Window.partitionBy("n").orderBy("level")) - 1
-        facts = counted.withColumn("place", place).join(before, "n").select("level", (F.col("before") + F.col("place")).cast("int").alias(f"{c}_ordinal"))
+        facts = places(levels(df, c).where("level <> ''")).select("level", F.col("place").cast("int").alias(f"{c}_ordinal"))
         df = _with_level(df, c, facts)
         names.append(f"{c}_ordinal")
     return df, names

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import DECIMAL, INTEGER, MISSING_TOKENS, ORDER, columns_of, is_numeric, key, missing, names_of, number, one_row, ordered, quoted, stripped
+from quarry.functions.values import DECIMAL, INTEGER, MISSING_TOKENS, ORDER, columns_of, is_numeric, key, missing, names_of, number, one_row, ordered, quantiles, quoted, stripped
 from quarry.operators.missing import modes
 from quarry.operators.rows import transform as _transform
 
@@ -143,12 +143,13 @@ def drop_columns(df: DataFrame, columns=()) -> Done:
 def bounds(df: DataFrame, columns: list[str], method: str, factor: float) -> dict[str, tuple[float, float]]:
     """Outlier bounds of each column: quartiles and their range (iqr), or mean and population deviation (zscore)."""
     out = {}
-    facts = one_row(df, *(f for c in columns for x in (number(df, c),) for f in (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q {c}"), F.avg(x).alias(f"m {c}"), F.stddev_pop(x).alias(f"s {c}")))) if columns else {}
+    facts = one_row(df, *(f for c in columns for x in (number(df, c),) for f in (F.avg(x).alias(f"m {c}"), F.stddev_pop(x).alias(f"s {c}")))) if columns else {}
+    quarters = quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.75]) if method == "iqr" else {}
     for c in columns:
         if facts[f"m {c}"] is None:
             continue
         if method == "iqr":
-            low, high = facts[f"q {c}"]
+            low, high = quarters[c]
             reach = factor * (high - low)
         elif method == "zscore":
             low = high = facts[f"m {c}"]
@@ -181,8 +182,10 @@ def fill_missing(df: DataFrame, strategy: str = "auto", columns=None, value=None
     if strategy in ("zero", "constant"):
         fills = {c: 0 if strategy == "zero" else value for c in columns}
     elif strategy in ("auto", "median", "mean"):
-        way = F.avg if strategy == "mean" else lambda x: F.percentile(x, F.lit(0.5))
-        fills = one_row(df, *(way(number(df, c)).alias(c) for c in numeric)) if numeric else {}
+        if strategy == "mean":
+            fills = one_row(df, *(F.avg(number(df, c)).alias(c) for c in numeric)) if numeric else {}
+        else:
+            fills = {c: q and q[0] for c, q in quantiles(df, {c: number(df, c) for c in numeric}, [0.5]).items()}
         fills |= modes(df, [c for c in columns if c not in numeric], order)
     elif strategy == "mode":
         fills = modes(df, columns, order)

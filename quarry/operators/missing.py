@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import ORDER, columns_of, days_between, key, missing, moment, names_of, number, one_row, ordered, quoted
+from quarry.functions.values import ORDER, columns_of, days_between, key, missing, moment, names_of, number, one_row, ordered, quantiles, quoted
 from quarry.operators.auto import column_kinds
 from quarry.operators.entities import _keys, entity_window
 
@@ -144,13 +144,16 @@ def modes(df: DataFrame, columns: list[str], order=None) -> dict[str, object]:
 def learn_fill_values(df: DataFrame, columns=(), statistic: str = "median", value=None, order=None) -> dict[str, object]:
     """``{column: value}``: median, mean, mode, min, max, zero or constant; text columns take their mode."""
     columns = _wanted(df, columns)
-    ways = {"median": lambda x: F.percentile(x, F.lit(0.5)), "mean": F.avg, "min": F.min, "max": F.max}
+    ways = {"mean": F.avg, "min": F.min, "max": F.max}
     if statistic in ("zero", "constant"):
         return {c: 0 if statistic == "zero" else value for c in columns}
-    if statistic != "mode" and statistic not in ways:
+    if statistic not in ("mode", "median", *ways):
         raise ValueError(f"unknown statistic: {statistic}")
     by_number = [c for c in columns if _numeric(df, c) and statistic != "mode"]
-    out = one_row(df, *(ways[statistic](number(df, c)).alias(c) for c in by_number)) if by_number else {}
+    if statistic == "median":
+        out = {c: q and q[0] for c, q in quantiles(df, {c: number(df, c) for c in by_number}, [0.5]).items()}
+    else:
+        out = one_row(df, *(ways[statistic](number(df, c)).alias(c) for c in by_number)) if by_number else {}
     out |= modes(df, [c for c in columns if c not in by_number], order)
     return {c: out[c] for c in columns if out[c] is not None}
 
@@ -317,9 +320,10 @@ def impute_regression(df: DataFrame, columns=(), feature_columns=(), rounds: int
     inputs = names_of(feature_columns) or [c for c in df.columns if c != ORDER and _numeric(df, c)]
     df = flagged(df, wanted) if indicators else df
     every = list(dict.fromkeys([*inputs, *wanted]))
-    facts = one_row(df, *(f for c in every for f in (F.percentile(number(df, c), F.lit(0.5)).alias(f"q {c}"), F.min(number(df, c)).alias(f"a {c}"), F.max(number(df, c)).alias(f"z {c}"))))
-    every = [c for c in every if facts[f"q {c}"] is not None]
-    work = {c: F.coalesce(number(df, c), F.lit(facts[f"q {c}"])) for c in every}
+    facts = one_row(df, *(f for c in every for f in (F.min(number(df, c)).alias(f"a {c}"), F.max(number(df, c)).alias(f"z {c}"))))
+    medians = quantiles(df, {c: number(df, c) for c in every}, [0.5])
+    every = [c for c in every if medians[c]]
+    work = {c: F.coalesce(number(df, c), F.lit(medians[c][0])) for c in every}
     df = df.withColumns({f"_w {c}": v for c, v in work.items()} | {f"_o {c}": number(df, c).isNotNull() for c in every})
     for _ in range(rounds):
         for c in [w for w in wanted if w in every]:

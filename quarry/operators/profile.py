@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import BOOLEAN_TOKENS, ORDER, columns_of, days_between, key, missing, moment, names_of, number, one_row, quoted, stripped
+from quarry.functions.values import BOOLEAN_TOKENS, ORDER, columns_of, days_between, key, missing, moment, names_of, number, one_row, quantiles, quoted, stripped
 from quarry.operators.cleaning import bounds
 from quarry.operators.missing import missing_patterns
 
@@ -32,6 +32,11 @@ def column_kinds(df: DataFrame, columns=None) -> dict[str, str]:
 
     def facts(c: str) -> dict[str, Column]:
         there, k = ~missing(df, c), key(df, c)
+        if isinstance(df.schema[c].dataType, T.NumericType):  # only "one value" and "zeros and ones" matter: no values are counted
+            cell = F.when(there, quoted(c))
+            odd = F.count_if(there & ~F.lower(k).isin(*BOOLEAN_TOKENS))
+            distinct = F.when(F.count(cell) == 0, 0).when(F.min(cell) == F.max(cell), 1).when(odd == 0, 2).otherwise(3)
+            return {"n": F.count_if(there), "distinct": distinct.cast("long"), "odd": odd, "numbers": F.count_if(there & number(df, c).isNotNull()), "dates": F.lit(0).cast("long"), "length": F.lit(None).cast("double")}
         return {"n": F.count_if(there), "distinct": F.count_distinct(F.when(there, k)), "odd": F.count_if(there & ~F.lower(k).isin(*BOOLEAN_TOKENS)), "numbers": F.count_if(there & number(df, c).isNotNull()), "dates": F.count_if(there & moment(df, c).isNotNull()), "length": F.avg(F.when(there, F.length(k)))}
 
     out = {}
@@ -68,10 +73,12 @@ def column_roles(df: DataFrame, id_columns=None, date_columns=None, target: str
 
 def describe(df: DataFrame, columns=None) -> DataFrame:
     """Per column: rows, holes, rate, distinct values, and of its numbers the usual statistics."""
+    columns = columns_of(df, columns)
+    quarters = quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.5, 0.75])
 
     def facts(c: str) -> dict[str, Column]:
         x, hole = number(df, c), missing(df, c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in quarters[c] or [None] * 3]
         n = F.count(x)
         return {
             "n_rows": F.count(F.lit(1)),
@@ -90,7 +97,7 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
             "skew": F.when(n >= 3, F.skewness(x)),
         }
 
-    out = per_column(df, columns_of(df, columns), facts)
+    out = per_column(df, columns, facts)
     return out.withColumn("missing_rate", F.coalesce(F.try_divide(F.col("n_missing"), F.col("n_rows")), F.lit(0.0)))
 
 
@@ -180,6 +187,26 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when(F.count(a) >= 3, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
+def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], least: int = 3) -> DataFrame:
+    """``a``, ``b``, ``r`` of pairs of columns over the rows where both are numbers, by sums of products in one aggregate
+    over the columns' distances from their means; null under ``least`` rows or without spread."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    mean = one_row(df, *(F.avg(number(df, c)).alias(c) for c in names))
+    x = {c: F.col(f"x{i}") for i, c in enumerate(names)}
+    moved = df.select(*((number(df, c) - F.lit(mean[c])).alias(f"x{i}") for i, c in enumerate(names)))
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        p, q = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
+        sums += [F.count(x[a] + x[b]).alias(f"n{i}"), F.sum(p).alias(f"a{i}"), F.sum(q).alias(f"b{i}"), F.sum(p * p).alias(f"aa{i}"), F.sum(q * q).alias(f"bb{i}"), F.sum(x[a] * x[b]).alias(f"ab{i}")]
+    each = []
+    for i, (a, b) in enumerate(pairs):
+        n, sa, sb, saa, sbb, sab = (F.col(f"{k}{i}") for k in ("n", "a", "b", "aa", "bb", "ab"))
+        r = F.try_divide(sab - sa * sb / n, F.sqrt(F.greatest((saa - sa * sa / n) * (sbb - sb * sb / n), F.lit(0.0))))
+        r = F.when(n >= least, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+        each.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    return moved.agg(*sums).select(F.explode(F.array(*each)).alias("c")).select("c.*")
+
+
 def _ranked_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """Average ranks of both columns over their complete pairs, by counts of distinct values."""
     from quarry.functions.values import average_ranks
@@ -198,8 +225,7 @@ def correlations(df: DataFrame, columns=None, method: str = "pearson", top: int
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double, redundant boolean")
     if method == "pearson":
-        each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(number(df, a), number(df, b)).alias("r")) for a, b in pairs]
-        out = df.agg(F.array(*each).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+        out = pearson_pairs(df, pairs)
     elif method == "spearman":
         parts = [_ranked_pair(df, a, b).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col("rx"), F.col("ry")).alias("r")) for a, b in pairs]
         out = parts[0]

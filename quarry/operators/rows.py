@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import average_ranks, columns_of, divided, is_numeric, missing, names_of, number, one_row, quoted, unused
+from quarry.functions.values import average_ranks, columns_of, divided, is_numeric, missing, names_of, number, one_row, quantiles, quoted, unused
 
 Step = tuple[DataFrame, list[str]]
 
@@ -51,9 +51,8 @@ def math_transformations(df: DataFrame, columns=(), operations=("log1p", "sqrt",
 
 
 def quantiles_of(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float] | None]:
-    """Exact interpolated quantiles of each column's numbers, in one aggregate."""
-    found = one_row(df, *(F.percentile(number(df, c), F.array(*(F.lit(q) for q in at))).alias(c) for c in columns)) if columns else {}
-    return found
+    """Exact interpolated quantiles of each column's numbers."""
+    return quantiles(df, {c: number(df, c) for c in columns}, at)
 
 
 def scaling(df: DataFrame, columns=(), method: str = "zscore") -> Step:
@@ -61,7 +60,8 @@ def scaling(df: DataFrame, columns=(), method: str = "zscore") -> Step:
     over n - 1). No spread gives 0; a column without numbers is skipped."""
     columns = names_of(columns)
     x = {c: number(df, c) for c in columns}
-    facts = one_row(df, *(f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.avg(x[c]).alias(f"avg {c}"), F.stddev_samp(x[c]).alias(f"sd {c}"), F.min(x[c]).alias(f"min {c}"), F.max(x[c]).alias(f"max {c}"), F.percentile(x[c], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q {c}")))) if columns else {}
+    facts = one_row(df, *(f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.avg(x[c]).alias(f"avg {c}"), F.stddev_samp(x[c]).alias(f"sd {c}"), F.min(x[c]).alias(f"min {c}"), F.max(x[c]).alias(f"max {c}")))) if columns else {}
+    quarters = quantiles_of(df, columns, [0.25, 0.5, 0.75]) if method == "robust" else {}
     names = []
     for c in columns:
         n = facts[f"n {c}"]
@@ -80,7 +80,7 @@ def scaling(df: DataFrame, columns=(), method: str = "zscore") -> Step:
         elif method == "minmax":
             centre, spread = facts[f"min {c}"], facts[f"max {c}"] - facts[f"min {c}"]
         elif method == "robust":
-            centre, spread = facts[f"q {c}"][1], facts[f"q {c}"][2] - facts[f"q {c}"][0]
+            centre, spread = quarters[c][1], quarters[c][2] - quarters[c][0]
         else:
             raise ValueError(f"unknown method: {method}")
         df = df.withColumn(name, (x[c] - F.lit(centre)) / F.lit(spread) if spread else F.when(x[c].isNotNull(), F.lit(0.0)))
@@ -99,12 +99,12 @@ def binning(df: DataFrame, columns=(), bins: int = 4, strategy: str = "quantile"
     """``{column}_bin``: how many inner edges lie strictly below the value; skipped with fewer values than bins."""
     columns = names_of(columns)
     x = {c: number(df, c) for c in columns}
-    at = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    facts = one_row(df, *(f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.min(x[c]).alias(f"low {c}"), F.max(x[c]).alias(f"high {c}"), F.percentile(x[c], at).alias(f"q {c}")))) if columns else {}
+    facts = one_row(df, *(f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.min(x[c]).alias(f"low {c}"), F.max(x[c]).alias(f"high {c}")))) if columns else {}
+    inner = quantiles_of(df, columns, [i / bins for i in range(1, bins)]) if strategy == "quantile" else {}
     new = {}
     for c in columns:
         if facts[f"n {c}"] >= bins:
-            edges = _edges(facts[f"low {c}"], facts[f"high {c}"], facts[f"q {c}"], bins, strategy)
+            edges = _edges(facts[f"low {c}"], facts[f"high {c}"], inner.get(c), bins, strategy)
             new[f"{c}_bin"] = sum(((x[c] > F.lit(e)).cast("int") for e in edges), F.lit(0))
             new[f"{c}_bin"] = F.when(x[c].isNotNull(), new[f"{c}_bin"])
     return with_columns(df, new)
@@ -114,13 +114,14 @@ def outliers(df: DataFrame, columns=(), lower: float = 0.01, upper: float = 0.99
     """``{column}_winsorized`` (clipped to two quantiles) and ``{column}_is_outlier``; skipped under three values."""
     columns = names_of(columns)
     x = {c: number(df, c) for c in columns}
-    facts = one_row(df, *(f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.percentile(x[c], F.array(F.lit(lower), F.lit(upper))).alias(f"q {c}")))) if columns else {}
+    many = one_row(df, *(F.count(x[c]).alias(c) for c in columns)) if columns else {}
+    columns = [c for c in columns if many[c] >= 3]
+    ends = quantiles_of(df, columns, [lower, upper])
     new = {}
     for c in columns:
-        if facts[f"n {c}"] >= 3:
-            low, high = facts[f"q {c}"]
-            new[f"{c}_winsorized"] = F.when(x[c].isNotNull(), F.least(F.greatest(x[c], F.lit(low)), F.lit(high)))
-            new[f"{c}_is_outlier"] = ((x[c] < low) | (x[c] > high)).cast("int")
+        low, high = ends[c]
+        new[f"{c}_winsorized"] = F.when(x[c].isNotNull(), F.least(F.greatest(x[c], F.lit(low)), F.lit(high)))
+        new[f"{c}_is_outlier"] = ((x[c] < low) | (x[c] > high)).cast("int")
     return with_columns(df, new)
 
 
@@ -175,13 +176,14 @@ def transform(df: DataFrame, transformations=()) -> tuple[DataFrame, dict]:
         name = unused(df, t.get("as") or f"{c}_{operation}")
         if operation in ("zscore", "minmax", "bucket"):
             bins = int(t.get("bins", 4))
-            f = one_row(df, F.count(x).alias("n"), F.avg(x).alias("avg"), F.stddev_pop(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("q"))
+            f = one_row(df, F.count(x).alias("n"), F.avg(x).alias("avg"), F.stddev_pop(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
             if operation == "zscore":
                 value = (x - F.lit(f["avg"])) / F.lit(f["sd"]) if f["sd"] else None
             elif operation == "minmax":
                 value = (x - F.lit(f["low"])) / F.lit(f["high"] - f["low"]) if f["n"] and f["high"] > f["low"] else None
             else:
-                value = F.when(x.isNotNull(), sum(((x > F.lit(e)).cast("int") for e in f["q"]), F.lit(0)).cast("double")) if f["n"] >= bins else None
+                edges = quantiles(df, {c: x}, [i / bins for i in range(1, bins)])[c] if f["n"] >= bins else []
+                value = F.when(x.isNotNull(), sum(((x > F.lit(e)).cast("int") for e in edges), F.lit(0)).cast("double")) if edges else None
             if value is None:
                 skipped.append(name)
                 value = _null()

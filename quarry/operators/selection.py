@@ -7,19 +7,24 @@ the first aggregate see small tables. Model-based scores use Spark ML.
 from __future__ import annotations
 
 import math
+import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import ORDER, average_ranks, columns_of, key, missing, names_of, number, one_row, ordered, quoted
+from quarry.functions.values import ORDER, average_ranks, columns_of, key, missing, names_of, number, numbered, one_row, ordered, quantiles, quoted
 from quarry.operators.auto import column_kinds
 from quarry.operators.categories import top_levels
+from quarry.operators.profile import pearson_pairs
 
 MAX_ROWS, MAX_BINS, MAX_LEVELS, MAX_COMPARED = 20_000, 10, 50, 120
 MAX_MISSING_RATE, QUASI_CONSTANT_SHARE, ID_LIKE_SHARE = 0.5, 0.99, 0.95
 LEAKAGE_SCORE, MAX_CORRELATION = 0.98, 0.95
+#: As deep as Spark's trees can be.
+MAX_DEPTH = 30
 TASKS = ("binary", "multiclass", "regression")
 
 
@@ -82,32 +87,41 @@ def screen_features(df: DataFrame, features=None, max_missing_rate: float = MAX_
 
 def discretised(df: DataFrame, column: str, numeric: bool, bins: int = MAX_BINS) -> Column:
     """A label per cell: the number of quantile edges below a number, or a common level; missing is a label."""
-    if numeric:
-        x = number(df, column)
-        f = one_row(df, F.count(x).alias("n"), F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("q"))
-        if f["n"] > bins:
-            edges = sorted(set(f["q"]))
-            label = F.concat(F.lit("bin_"), sum(((x > F.lit(e)).cast("int") for e in edges), F.lit(0)).cast("string"))
-            return F.when(x.isNull(), F.lit("missing")).otherwise(label)
-    common = top_levels(df, column, MAX_LEVELS)
-    k = key(df, column)
-    return F.when(missing(df, column), F.lit("missing")).when(k.isin(*common) if common else F.lit(False), k).otherwise(F.lit("other"))
+    return _labels(df, {column: numeric}, bins)[column]
+
+
+def _labels(df: DataFrame, columns: dict[str, bool], bins: int = MAX_BINS) -> dict[str, Column]:
+    """:func:`discretised` of several columns (and whether each is numeric), the edges of all by the same passes."""
+    x = {c: number(df, c) for c, numeric in columns.items() if numeric}
+    n = one_row(df, *(F.count(v).alias(c) for c, v in x.items())) if x else {}
+    edges = quantiles(df, {c: v for c, v in x.items() if n[c] > bins}, [i / bins for i in range(1, bins)])
+    out = {}
+    for c in columns:
+        if c in edges:
+            label = F.concat(F.lit("bin_"), sum(((x[c] > F.lit(e)).cast("int") for e in sorted(set(edges[c]))), F.lit(0)).cast("string"))
+            out[c] = F.when(x[c].isNull(), F.lit("missing")).otherwise(label)
+            continue
+        common, k = top_levels(df, c, MAX_LEVELS), key(df, c)
+        out[c] = F.when(missing(df, c), F.lit("missing")).when(k.isin(*common) if common else F.lit(False), k).otherwise(F.lit("other"))
+    return out
 
 
 def _numeric(df: DataFrame, column: str) -> bool:
     return column_kinds(df, [column])[column] == "numeric"
 
 
-def _joint(df: DataFrame, label: Column, other: Column) -> DataFrame:
-    """``a``, ``b`` and ``n`` of each pair of labels."""
-    return df.select(label.alias("a"), other.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def _joint(df: DataFrame, labels: dict[str, Column], other: Column) -> DataFrame:
+    """``column``, ``a``, ``b`` and ``n`` of each pair of labels of each column and the other, in one aggregate."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), v.alias("a")) for c, v in labels.items())))
+    return df.select(each.alias("_l"), other.alias("b")).groupBy("_l.column", "_l.a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _totals(joint: DataFrame) -> DataFrame:
-    """A joint count (at most 51 x 51 rows) with the totals of both sides and of all."""
-    a = joint.groupBy("a").agg(F.sum("n").alias("na"))
-    b = joint.groupBy("b").agg(F.sum("n").alias("nb"))
-    return joint.join(F.broadcast(a), "a").join(F.broadcast(b), "b").crossJoin(F.broadcast(joint.agg(F.sum("n").alias("total"))))
+    """A joint count with the totals of both sides and of all; its labels may be as many as a column has levels."""
+    a = joint.groupBy("column", "a").agg(F.sum("n").alias("na"))
+    b = joint.groupBy("column", "b").agg(F.sum("n").alias("nb"))
+    whole = joint.groupBy("column").agg(F.sum("n").alias("total"))
+    return joint.join(a, ["column", "a"]).join(b, ["column", "b"]).join(whole, "column")
 
 
 def _target_label(df: DataFrame, target: str, task: str) -> Column:
@@ -124,17 +138,27 @@ def _outcome(df: DataFrame, target: str, task: str) -> Column:
 
 def mutual_information(df: DataFrame, feature: str, target: str, task: str) -> DataFrame:
     """``score``: shared bits over the target's entropy."""
-    t = _totals(_joint(df, discretised(df, feature, _numeric(df, feature)), _target_label(df, target, task)))
+    return _information(df, {feature: _numeric(df, feature)}, target, task).select("score")
+
+
+def _information(df: DataFrame, columns: dict[str, bool], target: str, task: str) -> DataFrame:
+    """``column`` and ``score`` of all columns at once."""
+    t = _totals(_joint(df, _labels(df, columns), _target_label(df, target, task)))
     p, pa, pb = F.col("n") / F.col("total"), F.col("na") / F.col("total"), F.col("nb") / F.col("total")
     shared = F.greatest(F.sum(p * F.log2(p / (pa * pb))), F.lit(0.0))
     entropy = -F.sum(p * F.log2(pb))
-    return t.agg(F.coalesce(F.try_divide(shared, entropy), F.lit(0.0)).alias("score"))
+    return t.groupBy("column").agg(F.coalesce(F.try_divide(shared, entropy), F.lit(0.0)).alias("score"))
 
 
 def cramers_v(df: DataFrame, feature: str, target: str, task: str) -> DataFrame:
     """``score`` from the chi-square of the labels; empty cells are in the identity, so none are made."""
-    t = _totals(_joint(df, discretised(df, feature, _numeric(df, feature)), _target_label(df, target, task)))
-    return t.agg(_v().alias("score"))
+    return _association(df, {feature: _numeric(df, feature)}, target, task).select("score")
+
+
+def _association(df: DataFrame, columns: dict[str, bool], target: str, task: str) -> DataFrame:
+    """``column`` and ``score`` of all columns at once."""
+    t = _totals(_joint(df, _labels(df, columns), _target_label(df, target, task)))
+    return t.groupBy("column").agg(_v().alias("score"))
 
 
 def _v() -> Column:
@@ -196,6 +220,28 @@ def anova_f(df: DataFrame, feature: str, target: str, task: str) -> DataFrame:
     return s.select(F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), f).alias("score"))
 
 
+def f_test(df: DataFrame, feature: str, target: str, task: str) -> DataFrame:
+    """``score``: one-way F over the target's levels, or of the straight line through a numeric target, with holes
+    filled by the median; categories count as their share of the rows."""
+    if _numeric(df, feature) or column_kinds(df, [feature])[feature] == "boolean":
+        x = number(df, feature)
+        x = F.coalesce(x, F.lit((quantiles(df, {feature: x}, [0.5])[feature] or [0.0])[0]))
+    else:
+        from quarry.operators.categories import frequency_encoding
+
+        df, (_, share) = frequency_encoding(df, [feature])
+        x = F.col(share)
+    if task != "regression":
+        g = df.where(~missing(df, target)).select(x.alias("x"), key(df, target).alias("g")).groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        s = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"))
+        between = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+        f = F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
+        return s.select(F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), f).alias("score"))
+    pairs = df.select(x.alias("x"), number(df, target).alias("y")).where("y is not null")
+    r2 = F.try_divide(F.covar_pop("x", "y") ** 2, F.var_pop("x") * F.var_pop("y"))
+    return pairs.agg(F.when(F.count("x") > 2, F.try_divide(r2 * (F.count("x") - 2), 1 - r2)).alias("score"))
+
+
 def f_p_value(f: float, d1: float, d2: float) -> float:
     """Upper tail of the F distribution, by the continued fraction of the incomplete beta function."""
     x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
@@ -247,16 +293,18 @@ def _matrix(df: DataFrame, features: list[str], target: str, task: str) -> DataF
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(out).select("features", "label")
 
 
-def _forest(task: str, trees: int = 50):
+def _forest(task: str, trees: int, max_depth: int | None = None):
+    """A forest; without a depth its trees grow as deep as Spark lets them."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
-    return (RandomForestRegressor if task == "regression" else RandomForestClassifier)(numTrees=trees, maxDepth=8, seed=0)
+    kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
+    return kind(numTrees=trees, maxDepth=MAX_DEPTH if max_depth is None else max_depth, maxMemoryInMB=512, seed=0)
 
 
-def random_forest(df: DataFrame, features: list[str], target: str, task: str) -> dict[str, float]:
+def random_forest(df: DataFrame, features: list[str], target: str, task: str, trees: int = 200, max_depth: int | None = None) -> dict[str, float]:
     """Impurity importances of a forest."""
-    model = _forest(task).fit(_matrix(df, features, target, task))
+    model = _forest(task, trees, max_depth).fit(_matrix(df, features, target, task))
     return dict(zip(features, map(float, model.featureImportances.toArray())))
 
 
@@ -276,42 +324,60 @@ def l1(df: DataFrame, features: list[str], target: str, task: str, c: float = 1.
     return dict(zip(features, map(float, weights)))
 
 
+def _linear_weights(data: DataFrame, left: list[int], task: str) -> np.ndarray:
+    """Weights of a linear or logistic fit (ridge, C = 1) on some of the matrix's columns: one row a class."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.regression import LinearRegression
+
+    data = VectorSlicer(inputCol="features", outputCol="some", indices=left).transform(data)
+    if task == "regression":
+        return np.array([LinearRegression(featuresCol="some", solver="normal").fit(data).coefficients.toArray()])
+    model = LogisticRegression(featuresCol="some", maxIter=1000, regParam=1.0 / max(1, data.count()), standardization=False).fit(data)
+    return model.coefficientMatrix.toArray()
+
+
 def rfe(df: DataFrame, features: list[str], target: str, task: str, keep: int | None = None) -> dict[str, float]:
-    """Recursive elimination by importance: the kept half scores from 0.5 to 1, dropped ones below in order."""
-    left, order = list(features), []
-    while len(left) > max(1, keep or len(features) // 2):
-        scores = random_forest(df, left, target, task)
-        order.append(min(left, key=lambda f: (scores[f], f)))
-        left.remove(order[-1])
-    last = random_forest(df, left, target, task)
-    most = max(last.values(), default=0) or 1
-    return {f: 0.5 * (i + 1) / (len(order) + 1) for i, f in enumerate(order)} | {f: 0.5 + 0.5 * v / most for f, v in last.items()}
-
-
-def permutation(df: DataFrame, features: list[str], target: str, task: str, repeats: int = 1) -> dict[str, float]:
-    """How much a forest's held-out metric falls when a column is replaced by another row's."""
+    """Recursive elimination by linear or logistic weights: the column of the least squared weight goes (ties by place)
+    until ``keep`` (default: half) are left. Kept ones score from 0.5 to 1 by greatest weight, others below 0.5 by how
+    late they went."""
+    data = _matrix(df, features, target, task)
+    left, order = list(range(len(features))), []
+    keep = max(1, min(keep or max(1, len(features) // 2), len(features)))
+    while len(left) > keep:
+        weights = (_linear_weights(data, left, task) ** 2).sum(axis=0)
+        order.append(left.pop(int(weights.argmin())))
+    last = np.abs(_linear_weights(data, left, task)).max(axis=0)
+    out = {features[j]: 0.5 * i / max(len(order), 1) for i, j in enumerate(order)}
+    return out | {features[j]: 0.5 + 0.5 * float(w) / (float(last.max()) or 1.0) for j, w in zip(left, last)}
+
+
+def permutation(df: DataFrame, features: list[str], target: str, task: str, repeats: int = 5, trees: int = 100, max_depth: int | None = None) -> dict[str, tuple[float, float]]:
+    """How much a forest's held-out metric falls when a column is shuffled: mean and deviation over the repeats.
+
+    Rows are numbered by partition; a shuffle takes the value of the row a random distance further on, in a seeded
+    order of its own, so no task sees all rows.
+    """
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     train, test = _matrix(df, features, target, task).randomSplit([0.75, 0.25], seed=0)
-    model = _forest(task, 20).fit(train)
+    model = _forest(task, trees, max_depth).fit(train)
     judge = RegressionEvaluator(metricName="r2") if task == "regression" else MulticlassClassificationEvaluator(metricName="accuracy")
     base = judge.evaluate(model.transform(test))
-    test = test.withColumn("v", vector_to_array("features"))
-    spread = test.select("v", "label", F.row_number().over(_any_order()).alias("at"))
-    n = spread.count()
-    out = {}
-    for i, f in enumerate(features):
-        other = spread.select((F.col("at") % n + 1).alias("at"), F.col("v")[i].alias("swap"))
-        mixed = spread.join(other, "at").withColumn("features", array_to_vector(F.transform("v", lambda x, k: F.when(k == i, F.col("swap")).otherwise(x))))  # noqa: B023
-        out[f] = max(0.0, base - judge.evaluate(model.transform(mixed)))
-    return out
-
-
-def _any_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("v", "label"))
+    rows = test.select(vector_to_array("features").alias("v"), "label")
+    falls: dict[str, list[float]] = {f: [] for f in features}
+    for turn in range(repeats):
+        # equal rows may share a bucket: any row of the column may stand in for any other
+        spread, n = numbered(rows.withColumn("_h", F.xxhash64("v", "label", F.lit(turn))), "_h", "at")
+        if not n:
+            break
+        step = 1 + random.Random(turn).randrange(max(1, n - 1))
+        for i, f in enumerate(features):
+            other = spread.select(((F.col("at") + step) % n).alias("at"), F.col("v")[i].alias("swap"))
+            mixed = spread.join(other, "at").withColumn("features", array_to_vector(F.transform("v", lambda x, k: F.when(k == i, F.col("swap")).otherwise(x))))  # noqa: B023
+            falls[f].append(base - judge.evaluate(model.transform(mixed)))
+    return {f: (float(np.mean(v)), float(np.std(v))) for f, v in falls.items() if v}
 
 
 METHODS = {
@@ -323,10 +389,12 @@ METHODS = {
     "auc": (auc, ("binary",)),
     "information_value": (information_value, ("binary",)),
     "variance": (variance, TASKS),
-    "f_test": (anova_f, ("binary", "multiclass")),
+    "f_test": (f_test, TASKS),
 }
 MODEL_METHODS = {"random_forest": random_forest, "l1": l1, "rfe": rfe, "permutation": permutation}
-NUMBERS_ONLY = {"correlation", "spearman", "auc", "anova_f", "f_test", "variance"}
+NUMBERS_ONLY = {"correlation", "spearman", "auc", "anova_f", "variance"}
+#: Scores of all columns by the same passes.
+AT_ONCE = {"mutual_information": _information, "cramers_v": _association}
 SELECTION_METHODS = (*METHODS, *MODEL_METHODS, "sklearn_mutual_information")
 
 
@@ -357,18 +425,24 @@ def sampled(df: DataFrame, max_rows: int | None, order=None) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*map(quoted, place or df.columns)), F.lit(step)) == 0)
 
 
-def rank_features(df: DataFrame, target: str, features=None, method: str | None = None, task: str | None = None, max_rows: int | None = None) -> DataFrame:
-    """``column`` and ``score`` by the method, best first, unscored last. Whole table unless ``max_rows`` asks for the
-    systematic sample."""
+def rank_features(df: DataFrame, target: str, features=None, method: str | None = None, task: str | None = None, max_rows: int | None = None, **options) -> DataFrame:
+    """``column`` and ``score`` by the method, best first, unscored last; ``std`` too where the method repeats itself.
+    Whole table unless ``max_rows`` asks for the systematic sample. ``options`` go to model methods (trees, max_depth,
+    repeats, keep)."""
     task = resolve_task(df, target, task)
     method = resolve_method(method, task)
     columns = [c for c in columns_of(df, features) if c != target]
     df = sampled(df, max_rows)
     spark = df.sparkSession
     if method in MODEL_METHODS:
-        rows = list(MODEL_METHODS[method](df, columns, target, task).items())
-        return spark.createDataFrame(rows, "column string, score double").orderBy(F.desc_nulls_last("score"), "column")
+        found = MODEL_METHODS[method](df, columns, target, task, **options)
+        more = ", std double" if method == "permutation" else ""
+        rows = [(c, *v) if more else (c, v) for c, v in found.items()]
+        return spark.createDataFrame(rows, f"column string, score double{more}").orderBy(F.desc_nulls_last("score"), "column")
     kinds = column_kinds(df, columns)
+    if method in AT_ONCE and columns:
+        out = AT_ONCE[method](df, {c: kinds[c] == "numeric" for c in columns}, target, task)
+        return out.select("column", F.col("score").cast("double").alias("score")).orderBy(F.desc_nulls_last("score"), "column")
     out = spark.createDataFrame([(c, None) for c in columns if method in NUMBERS_ONLY and kinds[c] not in ("numeric", "boolean")], "column string, score double")
     for c in columns:
         if method not in NUMBERS_ONLY or kinds[c] in ("numeric", "boolean"):
@@ -389,12 +463,12 @@ def redundant_pairs(df: DataFrame, features, threshold: float = MAX_CORRELATION,
     kinds = column_kinds(df, columns)
     numeric = [c for c in columns if kinds[c] in ("numeric", "boolean")]
     out = df.sparkSession.createDataFrame([], "a string, b string, association double")
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_r(number(df, a), number(df, b)).alias("association")) for a, b in combinations(numeric, 2)]
+    pairs = list(combinations(numeric, 2))
     if pairs:
-        out = out.unionByName(df.agg(F.array(*pairs).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+        out = out.unionByName(pearson_pairs(df, pairs, 2).select("a", "b", F.abs("r").alias("association")))
     categories = [c for c in columns if c not in numeric]
     for a, b in combinations(categories, 2):
-        t = _totals(_joint(df.where(~missing(df, a) & ~missing(df, b)), key(df, a), key(df, b)))
+        t = _totals(_joint(df.where(~missing(df, a) & ~missing(df, b)), {a: key(df, a)}, key(df, b)))
         out = out.unionByName(t.agg(_v().alias("association")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "association"))
     mixed = []
     for g in categories if numeric else ():
@@ -421,11 +495,6 @@ def _ratios(df: DataFrame, numeric: list[str], group: str) -> list:
     return [r["c"] for r in g.agg(F.array(*each).alias("c")).select(F.explode("c").alias("c")).collect() if r["c"]["eta"] is not None]
 
 
-def _pair_r(x: Column, y: Column) -> Column:
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.least(F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))), F.lit(1.0))
-
-
 def select_features(df: DataFrame, target: str, features=None, method: str | None = None, task: str | None = None, top_k: int | None = None, min_score: float | None = None, exclude=None, max_missing_rate: float = MAX_MISSING_RATE, max_correlation: float = MAX_CORRELATION, leakage_score: float = LEAKAGE_SCORE, max_rows: int | None = None) -> DataFrame:
     """``column``, ``score``, ``selected``, ``stage`` and ``reason``: screened, ranked, cleared of leaks, of the weaker
     of redundant pairs, of low scores, and cut to the best ``top_k``."""

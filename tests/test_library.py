@@ -7,8 +7,10 @@ import datetime
 import gzip
 import json
 import lzma
+import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,54 @@ def test_missing_tokens_and_numbers(spark):
     assert column(out, "x") == [None] * 8 + [7.0, 1000.0, None, None, None, 4.5, -300.0, None]
 
 
+def test_quantiles_by_shrinking_brackets(spark, monkeypatch):
+    rng = random.Random(5)
+    tied = [float(rng.choice([1, 2, 2, 2, 3, 3000])) if i % 3 else rng.random() for i in range(3000)]
+    wide = [None if i % 50 == 0 else rng.gauss(0, 10 ** rng.randint(0, 9)) for i in range(3000)]
+    df = table(spark, [(i, a, b, None, 7.0) for i, (a, b) in enumerate(zip(tied, wide))], "id int, a double, b double, c double, d double").repartition(4)
+    at = [0.0, 0.01, 0.25, 0.5, 0.77, 0.999, 1.0]
+    for few in (values.FEW, 40):
+        monkeypatch.setattr(values, "FEW", few)
+        got = values.quantiles(df, {c: F.col(c) for c in "abcd"}, at)
+        assert got["c"] is None and got["d"] == [7.0] * len(at)
+        for name, data in (("a", tied), ("b", [x for x in wide if x is not None])):
+            assert got[name] == pytest.approx(np.quantile(data, at).tolist(), rel=1e-12, abs=1e-12)
+
+
+def test_places_and_numbers_are_dense_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(values, "RANGE", 20)
+    rng = random.Random(6)
+    rows = [(f"level {i} {rng.random()}", rng.choice([1, 1, 1, 1, 5, 9])) for i in range(400)]
+    out = values.places(table(spark, rows, "level string, n long").repartition(3))
+    want = {level: i for i, (level, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {r["level"]: r["place"] for r in out.collect()} == want
+    ranks = values.average_ranks(table(spark, [(float(n),) for _, n in rows] + [(float(i % 90),) for i in range(300)], "v double"))
+    everything = sorted([float(n) for _, n in rows] + [float(i % 90) for i in range(300)])
+    for r in ranks.collect():
+        at = [i for i, v in enumerate(everything) if v == r["value"]]
+        assert r["rank"] == sum(at) / len(at) and r["n"] == len(everything)
+    numbered, n = values.numbered(table(spark, [(rng.getrandbits(40),) for _ in range(100)], "h long"), "h", "at", 7)
+    assert n == 100 and sorted(r["at"] for r in numbered.collect()) == list(range(100))
+
+
+def test_model_scores(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        a, b, c = rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((i, a, b, c, a + 0.5 * b, int(a + 0.3 * rng.gauss(0, 1) > 0)))
+    df = table(spark, rows, "id int, a double, b double, c double, y double, z int")
+    by = lambda target, method, **o: {r["column"]: r["score"] for r in selection.rank_features(df, target, ["a", "b", "c"], method, **o).collect()}
+    kept = by("y", "rfe", keep=2)
+    assert kept["a"] == 1.0 and kept["b"] == pytest.approx(0.75, abs=0.01) and kept["c"] == 0.0
+    assert by("z", "rfe")["a"] == 1.0
+    x, y = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
+    r2 = np.corrcoef(x, y)[0, 1] ** 2
+    assert by("y", "f_test")["a"] == pytest.approx(r2 / (1 - r2) * 298)
+    out = {r["column"]: r for r in selection.rank_features(df, "z", ["a", "b", "c"], "permutation", repeats=2, trees=10, max_depth=5).collect()}
+    assert out["a"]["score"] > 0.2 > abs(out["c"]["score"]) and out["a"]["std"] >= 0
+
+
 def test_moments(spark):
     raw = ["2024-03-04", "2024-03-04T05:06:07Z", "2024-03-04 05:06:07+02:00", "2024/03/04", "03/04/2024", "13/04/2024", "04/13/2024", "4.3.2024", "20240304", "Mar 4 2024", "4 Mar 2024", "1709510400", "1709510400000", "2024", "nonsense"]
     df = table(spark, list(enumerate(raw)), "id int, c string")
