@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import Memo, distinct_words, gathered, map_arrow, resident
+from quarry.llm.common import Known, Memo, distinct_words, gathered, map_arrow, resident
 
-#: Entries that each of a worker's memos may hold before it starts again.
-MEMO = 500_000
+#: Words, and entries of each other memo, that a worker holds at most.
+WORDS, MEMO = 600_000, 150_000
 
 #: A space beside other white space: there the pattern's matches can cross a single space.
 CROSSING = re.compile(r"  |[^\S ] (?:\s|\Z)| [^\S ]")
@@ -48,8 +48,8 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = Memo(self._shorter)
         self.fits = Memo(self._fits)
-        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
-        self.spaced = Memo(lambda word: self._split(" " + word))
+        self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()))
+        self.spaced = Known(lambda word: self._split(" " + word), WORDS)
         # the pattern's white space is Unicode's, without the four separators that Python adds
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
@@ -119,8 +119,8 @@ class Codec:
                 raise KeyError("no sequence of tokens spells this piece")
         return out
 
-    def _split(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+    def _split(self, text: str) -> list[int]:
+        return [x for m in self.pattern.findall(text) for x in self.pieces[m]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts (null counts as empty), and where each text begins and the last ends.
@@ -128,7 +128,7 @@ class Codec:
         No match of the pattern crosses a space that stands between other characters, so the words between such
         spaces are encoded once each; texts with a space beside other white space are split by the pattern whole.
         """
-        for memo in (self.pieces, self.spaced, self.fits):
+        for memo in (self.pieces, self.fits):
             memo.bounded(MEMO)
         texts = pc.fill_null(texts, "")
         plain = texts.to_numpy(zero_copy_only=False).tolist()
@@ -137,16 +137,19 @@ class Codec:
         offsets = split.offsets.to_numpy()
         index, distinct = distinct_words(split.values.slice(offsets[0], offsets[-1] - offsets[0]))
         offsets = (offsets - offsets[0]).astype(np.int64)
+        flat, starts, lens = self.spaced.find(distinct)
         index = index.astype(np.int64)
         index[offsets[:-1]] = len(distinct) + np.arange(len(plain))  # the first word of a text follows no space
-        firsts = [self._split(t if c else t.partition(" ")[0]) for t, c in zip(plain, crossing)]
-        return gathered(index, [*map(self.spaced.__getitem__, distinct), *firsts], offsets)
+        firsts = [np.array(self._split(t if c else t.partition(" ")[0]), "<u4") for t, c in zip(plain, crossing)]
+        more = np.fromiter(map(len, firsts), np.int64, len(firsts))
+        begun = len(flat) + np.cumsum(more) - more
+        return gathered(index, np.concatenate([flat, *firsts]), np.concatenate([starts, begun]), np.concatenate([lens, more]), offsets)
 
     def encode_text(self, text: str) -> list[int]:
         """Ids of one text."""
         return self.encode(pa.array([text], pa.string()))[0].tolist()
 
-    def runs(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def runs(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """:meth:`encode` over runs of rows of about ``most`` bytes: memory stays bounded for long texts."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         run = (np.cumsum(size) - size) // most
@@ -159,9 +162,14 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
+def key_of(path: str, pattern: str) -> tuple[str, str, str]:
+    """What :func:`codec` keeps it under."""
+    return "bpe", path, pattern
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process."""
-    return resident(("bpe", path, pattern), lambda: Codec(path, pattern))
+    return resident(key_of(path, pattern), lambda: Codec(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +184,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat.astype(np.int32)))], [key, "ids"])
                 at += n
 
-    return map_arrow(docs.select(key, text), run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return map_arrow(docs.select(key, text), run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>", key_of(path, pattern))
 
 
 def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -188,7 +196,7 @@ def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: st
             data = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [key, "data"])
 
-    return map_arrow(df.select(key, ids), run, f"{key} {df.schema[key].dataType.simpleString()}, data binary")
+    return map_arrow(df.select(key, ids), run, f"{key} {df.schema[key].dataType.simpleString()}, data binary", key_of(path, pattern))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -206,4 +214,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     b.append(hashlib.sha256(c.decode(flat[x:y])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", key_of(path, pattern))

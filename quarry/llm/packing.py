@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_arrow
-from quarry.llm.words import words
+from quarry.llm.words import key, words
 
 WINDOW = 4096
 #: Pieces that are dealt out together.
@@ -134,17 +134,17 @@ def pack_texts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, gr
             keys = batch.column(0).to_pylist()
             for first, flat, offsets in encoder.encode_batches(batch.column(1)):
                 data, offsets = flat.tobytes(), offsets.tolist()
-                for key, a, z in zip(keys[first:], offsets, offsets[1:]):
+                for doc, a, z in zip(keys[first:], offsets, offsets[1:]):
                     ids = data[4 * a : 4 * z] + end
                     n = z - a + 1
                     whole, rest = cuts(n, window)
                     at = 0
                     for _ in range(whole):
-                        done.append((key, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, number, 0))
+                        done.append((doc, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, number, 0))
                         at += window
                         number += 1
                     for size in rest:
-                        loose.append((key, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
+                        loose.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
                         at += size
                     if len(loose) >= group:
                         dealt()
@@ -152,7 +152,7 @@ def pack_texts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, gr
         dealt()
         yield from out()
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES, key(path))
 
 
 def sequences(pieces: DataFrame, tokens: DataFrame, window: int = WINDOW, pad: int = 0) -> DataFrame:

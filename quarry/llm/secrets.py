@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import Memo, distinct_words, map_arrow, resident
+from quarry.llm.common import Known, distinct_words, map_arrow, resident
 
 # Fixed patterns of the base kinds; letters of the first in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,7 +47,7 @@ OPENING = re.compile(r"""["'(<\[{]*(?:gh[opsu]_|github_pat_|sk[-_]|pk_|rk_|xox[a
 ARMOUR = re.compile(r"-----(BEGIN|END)")
 TAGS = 3  # outside, begin, inside
 FEATURES = 32
-MEMO = 500_000
+MEMO = 600_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -248,7 +248,7 @@ class Scanner:
         self.w = weights
         self.classes: dict[frozenset[int], int] = {}
         self.tables = {k: np.zeros((0, TAGS)) for k in ("word", "before", "after")}
-        self.of = Memo(self._class)
+        self.of = Known(lambda word: (self._class(word),), MEMO)
         trans = weights["trans"]
         self.stay = max(0.0, float(trans[np.isfinite(trans)].max() - trans[0, 0]))
         self.open = _reach(trans, (None, 0, 1, 2), (1, 2), (None, 0, 1))
@@ -326,8 +326,6 @@ class Scanner:
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """All spans of each text, by start, then kind."""
-        if len(self.of) > MEMO:
-            self.of.clear()
         split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         offsets = split.offsets.to_numpy().astype(np.int64)
         flat = split.values
@@ -337,7 +335,8 @@ class Scanner:
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not len(distinct):
             return found
-        coded = np.array([self.of[w] for w in distinct])[index]
+        flat, starts, _ = self.of.find(distinct)
+        coded = flat[starts].astype(np.int64)[index]
         touched = np.concatenate([[0], np.cumsum(coded & 1)])
         tags = self.tags(self.emissions(coded >> 1, offsets), offsets)
         tagged = np.concatenate([[0], np.cumsum(tags > 0)])
@@ -404,7 +403,7 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
-def _scanned_in_runs(scanner: Scanner, texts: list[str | None], most: int = 6_000_000) -> Iterator[list[tuple[int, int, str]]]:
+def _scanned_in_runs(scanner: Scanner, texts: list[str | None], most: int = 3_000_000) -> Iterator[list[tuple[int, int, str]]]:
     held: list[str] = []
     size = 0
     for t in texts:

@@ -4,17 +4,17 @@ A window is ``WINDOW`` consecutive words of one document; a word goes if a windo
 document with a smaller ``doc_id``. Any window holds a whole aligned block of ``WINDOW // 2`` words, whatever its
 offset. So documents are indexed by the hashes of their non-overlapping blocks and probed with the rolling hash at
 every word; a hash that meets a block of another document anchors a repeat on both sides. Each anchor is extended to
-the windows that contain it, a window is confirmed by 96 more bits of hash over all its words, and runs of confirmed
+the windows that contain it, a window is confirmed by 96 bits of hash over all its words, and runs of confirmed
 windows are the maximal exact repeats.
 
-Two passes over the texts, each a shuffle of packed integers dealt by hash: block and rolling hashes first (5 bytes
-and a packed position a word), then only windows beside an anchor. A hash finds its least document by a sort in its
-bucket, so a passage that thousands of documents share costs its occurrences and not their pairs. The texts are
-shuffled once, by document, and that exchange serves both extension and removal.
+Documents are dealt to groups of bounded size. A group sends each distinct hash once, whatever the number of its
+documents that hold it, with the least and greatest of them, and what comes back to a group is the set of hashes that
+are shared; positions never travel, since a group finds them again in its own texts. So a passage that thousands of
+documents share costs a row a group at most, neither its occurrences nor their pairs.
 
 Cases: null or blank text has no words; documents under one window lose nothing; rows with the same ``doc_id`` never
 remove each other's words; rows with a null ``doc_id`` neither lose nor remove words; words keep their bytes; very
-long texts are handled in runs of bounded size; an empty table gives no rows.
+long texts are hashed in slices of bounded size; an empty table gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quarry.llm.common import distinct_words, map_arrow, partitions, planes, released, ship, unplanes, written
+from quarry.llm.common import cogroup_arrow, distinct_words, group_arrow, map_arrow, planes, portions, ship, unplanes, written
 
 WINDOW = 50
 #: Odd multipliers of the rolling hashes, and of the mixing step.
 BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-#: Entries that a task gathers before it deals them out.
-FLUSH = 1_000_000
-#: Bytes of text that are hashed together.
-RUN = 8 << 20
+#: Bytes of text that are hashed together, and words of a text that are rolled over together.
+RUN, SLICE = 2 << 20, 1 << 18
+#: A group of documents, and a bucket of hashes, for about so many bytes of (compressed) input.
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bits of an anchor's hash that travel; its bucket adds what tells it apart.
+ANCHOR_BITS = 40
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -47,31 +49,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+
 class Hashed:
     """The words of some texts and their hashes."""
 
-    def __init__(self, texts: pa.Array, ways: int) -> None:
+    def __init__(self, texts: pa.Array, ways: tuple[int, ...]) -> None:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         offsets = split.offsets.to_numpy().astype(np.int64)
         flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
         real = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
         kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
         self.offsets = kept[offsets - offsets[0]]
-        self.words = flat.filter(real)
-        index, distinct = distinct_words(self.words)
-        self.hashes = [np.array([xxhash.xxh3_64_intdigest(w, seed=k + 1) for w in distinct], np.uint64)[index] if len(distinct) else np.zeros(0, np.uint64) for k in range(ways)]
+        index, distinct = distinct_words(flat.filter(real))
+        self.hashes = {k: np.fromiter((xxhash.xxh3_64_intdigest(w, seed=k + 1) for w in distinct), np.uint64, len(distinct))[index] for k in ways}
+        self.n = len(index)
 
     def rolling(self, width: int, way: int) -> np.ndarray:
         """The hash of the ``width`` words from each word on (those that cross a text's end mean nothing)."""
         h = self.hashes[way]
-        n = len(h)
-        if n < width:
-            return np.zeros(0, np.uint64)
-        base = BASE[way]
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
-        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n], dtype=np.uint64)])
-        return _mixed((sums[width:] - sums[:-width]) * back[: n - width + 1])
+        out = np.empty(max(0, self.n - width + 1), np.uint64)
+        size = min(SLICE, len(out))
+        powers, back = _powers(BASE[way], size + width), _powers(pow(BASE[way], -1, 1 << 64), size)
+        for a in range(0, len(out), SLICE):
+            n = min(SLICE, len(out) - a)
+            part = h[a : a + n + width - 1]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers[: len(part)], dtype=np.uint64)])
+            out[a : a + n] = _mixed((sums[width:] - sums[:-width]) * back[:n])
+        return out
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -87,196 +94,182 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _packed(key: int, doc: np.ndarray, pos: np.ndarray, hashes: list[bytes]) -> tuple:
-    """One row: entries in the order of documents and positions, documents run-length coded."""
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    starts = np.concatenate([[0], cut])
-    sizes = np.diff(np.concatenate([starts, [len(doc)]]))
-    return (key, planes(doc[starts]), planes(sizes.astype("<u4")), planes(pos.astype("<u4")), b"".join(hashes))
+def _places(offsets: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that begin a block inside a document of a window at least: where, of which text, and the place in it."""
+    sizes = np.diff(offsets)
+    sizes = np.where(sizes >= window, sizes - block + 1, 0)
+    return _ranges(offsets[:-1], sizes), np.repeat(np.arange(len(sizes)), sizes), _ranges(np.zeros(len(sizes), np.int64), sizes)
 
 
-SENT = "bucket int, docs binary, sizes binary, pos binary, hash binary"
-NAMES = ["bucket", "docs", "sizes", "pos", "hash"]
-KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _batch(rows: list[tuple], n: int = 5) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS[:n]], NAMES[:n])
+def _anchor(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What is compared of a block's hash: its bucket and its low bits."""
+    return (_bucket(h, buckets) << np.uint64(ANCHOR_BITS)) | (h & np.uint64((1 << ANCHOR_BITS) - 1))
 
 
-def _dealt(bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """Packed rows, one per bucket; ``hashes`` are arrays and how many of their low bytes to keep."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, pos = bucket[order], doc[order], pos[order]
-    hashes = [(h[order], n) for h, n in hashes]
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.concatenate([starts[1:], [len(bucket)]])
-    rows = [_packed(int(bucket[a]), doc[a:z], pos[a:z], [planes(h[a:z])[: n * (z - a)] for h, n in hashes]) for a, z in zip(starts.tolist(), ends.tolist())]
-    for k in range(0, len(rows), 256):
-        yield _batch(rows[k : k + 256])
-
-
-def _opened(t: pa.Table, widths: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Documents, positions and hashes of all packed rows of a bucket."""
-    doc, pos, hashes = [], [], [[] for _ in widths]
-    for d, s, p, h in zip(*(t.column(c) for c in NAMES[1:])):
-        at = unplanes(p.as_buffer(), "<u4")
-        pos.append(at)
-        doc.append(np.repeat(unplanes(d.as_buffer(), "<i8"), unplanes(s.as_buffer(), "<u4")))
-        raw, n, used = h.as_buffer().to_pybytes(), len(at), 0
-        for out, w in zip(hashes, widths):
-            out.append(unplanes(raw[used : used + w * n] + bytes((8 - w) * n), "<u8"))
-            used += w * n
-    return np.concatenate(doc), np.concatenate(pos).astype(np.int64), [np.concatenate(h) for h in hashes]
+# Packed rows: entries of one kind that go from one side to the other.
+SENT = "bucket long, of long, kind int, docs binary, sizes binary, hash binary"
+NAMES = [x.split()[0] for x in SENT.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+PROBE, BLOCK, SEVERAL = 0, 1, 2
 
 
-def hash_long(x: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of a long (XXH64 of its 8 bytes, seed 42), as signed 64-bit integers."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    h = np.full(len(x), 42, np.uint64) + p5 + np.uint64(8)
-    h ^= turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+def _batch(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS], NAMES)
 
 
-def _returned(doc: np.ndarray, pos: np.ndarray, groups: int) -> pa.Table:
-    """Packed rows by document group, positions in order."""
-    if not len(doc):
-        return pa.Table.from_batches([_batch([], 4)])
-    group = hash_long(doc) % groups
-    order = np.lexsort((pos, doc, group))
-    rows = list(_dealt(group[order], doc[order], pos[order], []))
-    return pa.Table.from_batches(rows).select(NAMES[:4])
+def _dealt(to: np.ndarray, of: int, kind: int, doc: np.ndarray, hashes: list[tuple[np.ndarray, int]]) -> list[tuple]:
+    """A row per value of ``to``; ``hashes`` are arrays and how many of their low bytes travel. Documents, in order
+    within a row, are run-length coded."""
+    order = np.lexsort((doc, to))
+    to, doc = to[order], doc[order]
+    hashes = [(h[order], n) for h, n in hashes]
+    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    ends = np.concatenate([starts[1:], [len(to)]])
+    out = []
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        own = doc[a:z]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sizes = np.diff(np.concatenate([first, [z - a]]))
+        out.append((int(to[a]), of, kind, planes(own[first]), planes(sizes.astype("<u4")), b"".join(planes(h[a:z])[: n * (z - a)] for h, n in hashes)))
+    return out
+
+
+def _opened(t: pa.Table, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sender, kind, document and hashes of each entry of some packed rows."""
+    of, kind, doc, hashes = [], [], [], [[] for _ in widths]
+    for sender, k, d, s, h in zip(t.column("of").to_pylist(), t.column("kind").to_pylist(), *(t.column(c) for c in NAMES[3:])):
+        own = np.repeat(unplanes(d.as_buffer(), "<i8"), unplanes(s.as_buffer(), "<u4"))
+        n = len(own)
+        of.append(np.full(n, sender))
+        kind.append(np.full(n, k, np.int8))
+        doc.append(own)
+        raw, used = h.as_buffer().to_pybytes(), 0
+        for out, w in zip(hashes, widths):
+            out.append(unplanes(raw[used : used + w * n] + bytes((8 - w) * n), "<u8"))
+            used += w * n
+    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in ((of, np.int64), (kind, np.int8), (doc, np.int64))) + ([np.concatenate(h) if h else np.zeros(0, np.uint64) for h in hashes],)  # type: ignore[return-value]
 
 
-def _marked(t: pa.Table) -> dict[int, np.ndarray]:
-    """Positions by document."""
-    if not t.num_rows:
-        return {}
-    t = t.append_column("hash", pa.array([b""] * t.num_rows, pa.binary())) if "hash" not in t.column_names else t
-    doc, pos, _ = _opened(t, [])
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return dict(zip(doc[np.concatenate([[0], cut])].tolist(), np.split(pos, cut)))
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal keys side by side, and where each run of them starts."""
+    order = np.lexsort(keys)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(fresh)
 
 
-BACK = "bucket int, docs binary, sizes binary, pos binary"
+def _least(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Least and greatest document of each distinct key."""
+    order, starts = _groups(*keys)
+    if not len(order):
+        return doc[:0], doc[:0], [k[:0] for k in keys]
+    return np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts), [k[order[starts]] for k in keys]
 
 
-def anchors(docs: DataFrame, buckets: int, groups: int, window: int = WINDOW) -> DataFrame:
-    """Positions whose half-window meets an aligned block of another document, packed by document group."""
+def anchors(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """Per group of documents (``bucket``), the block hashes that it shares with another document."""
     block = window // 2
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            doc, pos, h = (np.concatenate(x) for x in zip(*held))
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            yield from _dealt(bucket.astype(np.int32), doc, pos, [(h, 5)])
-            held.clear()
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, z in _runs(batch.column(1)):
-                t = Hashed(batch.column(1).slice(a, z - a), 1)
-                sizes = np.diff(t.offsets)
-                sizes = np.where(sizes >= window, sizes - block + 1, 0)
-                if not sizes.any():
-                    continue
-                at = _ranges(t.offsets[:-1], sizes)
-                held.append((np.repeat(ids[a:z], sizes), _ranges(np.zeros(len(sizes), np.int64), sizes), t.rolling(block, 0)[at]))
-                if sum(len(x[0]) for x in held) > FLUSH:
-                    yield from out()
-        if held:
-            yield from out()
+    def probes(rows: pa.Table) -> pa.Table:
+        """Every half-window of a group, with the greatest document that has it; aligned blocks, with the least."""
+        texts, ids = rows.column("text").combine_chunks(), rows.column("doc_id").to_numpy()
+        kinds: list[list[tuple]] = [[], []]
+        for a, z in _runs(texts):
+            t = Hashed(texts.slice(a, z - a), (0,))
+            at, text, place = _places(t.offsets, window, block)
+            if not len(at):
+                continue
+            h, doc = t.rolling(block, 0)[at], ids[a:z][text]
+            aligned = place % block == 0
+            for kind, (x, d) in enumerate(((h, doc), (h[aligned], doc[aligned]))):
+                least, most, (x,) = _least(d, x)
+                kinds[kind].append((least if kind else most, x))
+        out = []
+        for kind, held in enumerate(kinds):
+            if held:
+                doc, h = (np.concatenate(x) for x in zip(*held))
+                least, most, (h,) = _least(doc, h)
+                out += _dealt(_bucket(h, buckets).astype(np.int64), rows.column("bucket")[0].as_py(), kind, least if kind else most, [(h, ANCHOR_BITS // 8)])
+        return _batch(out)
 
     def meet(t: pa.Table) -> pa.Table:
-        doc, pos, (h,) = _opened(t, [5])
-        order = np.argsort(h)
-        h = h[order]
-        same = np.concatenate([[False], h[1:] == h[:-1]])
-        repeated = same | np.concatenate([same[1:], [False]])
-        order, fresh = order[repeated], ~same[repeated]
-        if not len(order):
-            return _returned(doc[:0], pos[:0], groups)
-        doc, pos = doc[order], pos[order]
-        starts = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        aligned = pos % block == 0
-        least = np.minimum.reduceat(np.where(aligned, doc, np.iinfo(np.int64).max), starts)[run]
-        most = np.maximum.reduceat(doc, starts)[run]
-        hit = (doc > least) | (aligned & (doc < most))
-        return _returned(doc[hit], pos[hit], groups)
-
-    sent = map_arrow(docs.select("doc_id", "text"), probes, SENT)
-    return sent.groupBy("bucket").applyInArrow(meet, BACK)
-
-
-def _bases(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Where each row's positions begin: rows that share a ``doc_id`` follow each other, by text."""
-    bases = np.zeros(len(ids), np.int64)
-    _, first, times = np.unique(ids, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times[first] > 1).tolist()
-    if shared:
-        words = {i: (texts[i].as_py() or "").encode().split() for i in shared}
-        at: dict[int, int] = {}
-        for i in sorted(shared, key=lambda i: (ids[i], words[i])):
-            bases[i] = at.get(int(ids[i]), 0)
-            at[int(ids[i])] = int(bases[i]) + len(words[i])
-    return bases
-
-
-def _windows(texts: pa.Array, ids: np.ndarray, marks: dict[int, np.ndarray], window: int) -> Iterator[tuple]:
-    """(doc, start, hash, more hash) of the windows that contain a mark."""
+        """To each group that has it, each hash of an aligned block that a greater document has too."""
+        of, kind, doc, (h,) = _opened(t, [ANCHOR_BITS // 8])
+        order, starts = _groups(h)
+        of, kind, doc, h = of[order], kind[order], doc[order], h[order]
+        least = np.minimum.reduceat(np.where(kind == BLOCK, doc, np.iinfo(np.int64).max), starts)
+        most = np.maximum.reduceat(doc, starts)
+        live = np.repeat(most > least, np.diff(np.concatenate([starts, [len(h)]]))) & (kind == PROBE)
+        h = h[live] | np.uint64(t.column("bucket")[0].as_py() << ANCHOR_BITS)
+        return _batch(_dealt(of[live], 0, PROBE, np.zeros(len(h), np.int64), [(h, 8)]))
+
+    sent = group_arrow(docs.select("bucket", "doc_id", "text").groupBy("bucket"), probes, SENT)
+    return group_arrow(sent.groupBy("bucket"), meet, SENT)
+
+
+def _beside(texts: pa.Array, ids: np.ndarray, live: np.ndarray, buckets: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, hash, more hash) of the windows that hold a live block."""
     block = window // 2
-    bases = _bases(texts, ids)
-    some = np.array([i for i, d in enumerate(ids.tolist()) if d in marks], np.int64)
-    texts, ids, bases = texts.take(pa.array(some)), ids[some], bases[some]
     for a, z in _runs(texts):
-        t = Hashed(texts.slice(a, z - a), 2)
+        t = Hashed(texts.slice(a, z - a), (0, 1))
+        at, text, _ = _places(t.offsets, window, block)
+        if not len(at):
+            continue
+        hit = _among(_anchor(t.rolling(block, 0)[at], buckets), live)
+        at, text = at[hit], text[hit]
+        # windows from the one that ends with the block to the one that begins with it
+        cover = np.zeros(t.n + 1, np.int32)
+        np.add.at(cover, np.maximum(at - block, t.offsets[text]), 1)
+        np.add.at(cover, at + 1, -1)
         sizes = np.diff(t.offsets)
-        cover = np.zeros(len(t.words) + 1, np.int64)
-        for d, at, n in zip(ids[a:z].tolist(), t.offsets.tolist(), sizes.tolist()):
-            p = marks[d]
-            p = p[p + block <= n]
-            np.add.at(cover, at + np.maximum(p - block, 0), 1)
-            np.add.at(cover, at + p + 1, -1)
-        inside = np.cumsum(cover)[:-1] > 0
-        starts = np.repeat(t.offsets[:-1], sizes)
         last = np.repeat(t.offsets[1:] - window, sizes)
-        at = np.flatnonzero(inside & (np.arange(len(t.words)) <= last))
-        if len(at):
-            yield np.repeat(ids[a:z], sizes)[at], at - starts[at] + np.repeat(bases[a:z], sizes)[at], t.rolling(window, 0)[at], t.rolling(window, 1)[at]
+        starts = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & (np.arange(t.n) <= last))
+        if len(starts):
+            yield np.repeat(ids[a:z], sizes)[starts], t.rolling(window, 0)[starts], t.rolling(window, 1)[starts] & np.uint64(0xFFFFFFFF)
+
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
-def repeats(docs: DataFrame, marks: DataFrame, buckets: int, groups: int, window: int = WINDOW) -> DataFrame:
-    """Starts of the windows that a smaller document also has, packed by document group. ``docs`` has ``bucket``."""
+
+def repeats(docs: DataFrame, marks: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """Per group of documents (``bucket``), the windows that it shares and the least document that has each."""
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        marked = _marked(right)
-        if marked and left.num_rows:
-            ids = left.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
-            for doc, pos, h, more in _windows(left.column("text").combine_chunks(), ids, marked, window):
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                out += _dealt(bucket.astype(np.int32), doc, pos, [(h, 8), (more, 4)])
-        return pa.Table.from_batches(out or [_batch([])])
+        """Each distinct window beside a live block of a group, with the least document that has it."""
+        _, _, _, (live,) = _opened(right, [8])
+        held = []
+        if len(live) and left.num_rows:
+            held = list(_beside(left.column("text").combine_chunks(), left.column("doc_id").to_numpy(), np.sort(live), buckets, window))
+        if not held:
+            return _batch([])
+        doc, h, more = (np.concatenate(x) for x in zip(*held))
+        least, most, (more, h) = _least(doc, more, h)
+        out, of = [], left.column("bucket")[0].as_py()
+        for kind, some in ((PROBE, least == most), (SEVERAL, least < most)):
+            out += _dealt(_bucket(h[some], buckets).astype(np.int64), of, kind, least[some], [(h[some], 8), (more[some], 4)])
+        return _batch(out)
 
     def confirm(t: pa.Table) -> pa.Table:
-        doc, pos, (h, more) = _opened(t, [8, 4])
-        order = np.lexsort((more, h))
-        h, more, doc, pos = h[order], more[order], doc[order], pos[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])
-        least = np.minimum.reduceat(doc, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-        return _returned(doc[doc > least], pos[doc > least], groups)
+        """To each group with a greater document, each window and the least document of all that has it."""
+        of, kind, doc, (h, more) = _opened(t, [8, 4])
+        order, starts = _groups(more, h)
+        of, kind, doc, h, more = (x[order] for x in (of, kind, doc, h, more))
+        least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.concatenate([starts, [len(h)]])))
+        some = (doc > least) | (kind == SEVERAL)
+        return _batch(_dealt(of[some], 0, PROBE, least[some], [(h[some], 8), (more[some], 4)]))
 
-    sent = docs.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(extend, SENT)
-    return sent.groupBy("bucket").applyInArrow(confirm, BACK)
+    sent = cogroup_arrow(docs.groupBy("bucket"), marks.groupBy("bucket"), extend, SENT)
+    return group_arrow(sent.groupBy("bucket"), confirm, SENT)
 
 
 RESULT = StructType(
@@ -290,20 +283,44 @@ RESULT = StructType(
 REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
+def _removed(texts: pa.Array, ids: np.ndarray, shared: pa.Table, window: int) -> dict[int, np.ndarray]:
+    """Starts of the windows that go, by row, in order."""
+    _, _, least, (h, more) = _opened(shared, [8, 4])
+    order = np.lexsort((more, h))
+    h, more, least = h[order], more[order], least[order]
+    out: dict[int, np.ndarray] = {}
+    for a, z in _runs(texts) if len(h) else ():
+        t = Hashed(texts.slice(a, z - a), (0, 1))
+        at, text, place = _places(t.offsets, window, window)
+        own = t.rolling(window, 0)[at] if len(at) else np.zeros(0, np.uint64)
+        hit = np.flatnonzero(_among(own, h))
+        if not len(hit):
+            continue
+        at, text, place, own = at[hit], text[hit], place[hit], own[hit]
+        rest = t.rolling(window, 1)[at] & np.uint64(0xFFFFFFFF)
+        k = np.searchsorted(h, own)
+        while (wrong := (more[k] != rest) & (k + 1 < len(h)) & (h[np.minimum(k + 1, len(h) - 1)] == own)).any():
+            k = k + wrong  # another window with the same first 64 bits
+        gone = (more[k] == rest) & (ids[a:z][text] > least[k])
+        text, place = text[gone], place[gone]
+        cut = np.flatnonzero(np.diff(text)) + 1
+        for i, p in zip(np.split(text, cut), np.split(place, cut)):
+            if len(i):
+                out[a + int(i[0])] = p
+    return out
+
+
 def _kept(rows: pa.Table, removed: dict[int, np.ndarray], window: int) -> pa.Table:
     """``rows`` (all but the bucket) with the columns of ``RESULT``."""
     n, gone, kept, spans = [], [], [], []
-    texts, ids = rows.column("text").combine_chunks(), rows.column("doc_id").combine_chunks()
-    bases = _bases(texts, ids.to_numpy(zero_copy_only=False)) if removed else np.zeros(rows.num_rows, np.int64)
-    for d, text, base in zip(ids.to_pylist(), texts, bases.tolist()):
+    for i, text in enumerate(rows.column("text").combine_chunks()):
         words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-        starts = removed.get(d)
         n.append(len(words))
+        starts = removed.get(i)
         runs: list[tuple[int, int]] = []
         if starts is not None:
-            starts = np.sort(starts[(starts >= base) & (starts + window <= base + len(words))]) - base
-            new = np.concatenate([[True], np.diff(starts) > window]) if len(starts) else np.zeros(0, bool)
-            ends = starts[np.concatenate([new[1:], [True]])] + window if len(starts) else starts
+            new = np.concatenate([[True], np.diff(starts) > window])
+            ends = starts[np.concatenate([new[1:], [True]])] + window
             runs = list(zip(starts[new].tolist(), ends.tolist()))
         rest, at = [], 0
         for a, z in runs:
@@ -324,22 +341,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     maximal repeats that go, as word ranges). Columns of these names and ``bucket`` are replaced."""
     ship(docs.sparkSession)
     docs = docs.drop(*RESULT.names, "bucket").withColumn("doc_id", F.col("doc_id").cast("long"))
-    buckets = partitions(docs.select("doc_id", "text"))
-    groups = 2 * buckets
-    known = docs.where("doc_id is not null")
-    marks = written(anchors(known, buckets, groups, window), "anchors")
-    released(docs.sparkSession)
-    dealt = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    again = repeats(dealt, marks, buckets, groups, window)
+    groups, buckets = portions(docs.select("doc_id", "text"), GROUP_BYTES), portions(docs.select("doc_id", "text"), BUCKET_BYTES)
+    known = docs.where("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    marks = written(anchors(known, buckets, window), "anchors")
+    again = repeats(known, marks, buckets, window)
     schema = StructType([*docs.schema.fields, *RESULT.fields])
     names = docs.columns
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _kept(left.select(names), _marked(right), window)
+        rows = left.select(names)
+        gone = _removed(rows.column("text").combine_chunks(), rows.column("doc_id").to_numpy(), right, window) if rows.num_rows else {}
+        return _kept(rows, gone, window)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _kept(pa.Table.from_batches([batch]), {}, window).to_batches()
 
-    cut = dealt.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(remove, schema)
+    cut = cogroup_arrow(known.groupBy("bucket"), again.groupBy("bucket"), remove, schema)
     return cut.unionByName(map_arrow(docs.where("doc_id is null"), untouched, schema))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_arrow, partitions, planes, unplanes, written
+from quarry.llm.words import key as key_of
 from quarry.llm.words import words
 
 MAGIC = b"QIDS0001"
@@ -325,7 +326,7 @@ def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if held:
             yield done()
 
-    return map_arrow(ordered, run, RECORDS)
+    return map_arrow(ordered, run, RECORDS, key_of(path))
 
 
 def read(records: DataFrame) -> DataFrame:

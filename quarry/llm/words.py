@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from quarry.llm.common import Memo, distinct_words, gathered, resident
+from quarry.llm.common import Known, Memo, distinct_words, gathered, resident
 
-#: Words and pieces that a worker's memos may hold before they start again.
-WORDS, PIECES = 250_000, 600_000
+#: Words and pieces that a worker's memos hold at most, and bytes of text that are encoded together.
+WORDS, PIECES, RUN = 600_000, 80_000, 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,17 +55,17 @@ class Words:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in layout["added_tokens"]) or r"(?!)")
         self.model = self.tokenizer.model
         self.pieces = Memo(self._piece)
-        self.words = Memo(self._word)
+        self.words = Known(self._word, WORDS)
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         if not (piece.isascii() and piece.isprintable()):
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return [t.id for t in self.model.tokenize(piece)]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> list[int]:
         if "|" in word and self.special.search(word):
             return self._whole(word)
         if word.isascii():
@@ -74,22 +74,21 @@ class Words:
             low = unicodedata.normalize("NFC", word)
             low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
         found = self.match.findall(low)
-        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        return self._piece(found[0]) if len(found) == 1 else [x for m in found for x in self.pieces[m]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts (null counts as empty), and where each text begins and the last ends."""
         texts = pc.fill_null(texts, "")
         if not self.by_word:
-            each = [self._whole(t) for t in texts.to_pylist()]
-            return gathered(np.arange(len(each)), each, np.arange(len(each) + 1))
-        self.words.bounded(WORDS)
+            each = [np.array(self._whole(t), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         self.pieces.bounded(PIECES)
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
         index, distinct = distinct_words(split.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        return gathered(index, list(map(self.words.__getitem__, distinct)), offsets - offsets[0])
+        return gathered(index, *self.words.find(distinct), offsets - offsets[0])
 
-    def encode_batches(self, texts: pa.Array, most: int = 8 << 20):
+    def encode_batches(self, texts: pa.Array, most: int = RUN):
         """(first row, ids, offsets) of runs of rows of about ``most`` bytes: memory stays bounded for long texts."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         run = (np.cumsum(size) - size) // most
@@ -99,6 +98,11 @@ class Words:
                 yield (a, *self.encode(texts.slice(a, z - a)))
 
 
+def key(path: str) -> tuple[str, str]:
+    """What :func:`words` keeps it under."""
+    return "words", path
+
+
 def words(path: str) -> Words:
     """One per worker process."""
-    return resident(("words", path), lambda: Words(path))
+    return resident(key(path), lambda: Words(path))
