@@ -506,3 +506,70 @@ def test_packing(spark):
     for r in made:
         inside = [x for p in sorted(by_sequence[r["sequence_id"]], key=lambda p: p["offset"]) for x in want[p["doc_id"]][p["start"] : p["start"] + p["length"]]]
         assert r["ids"][: len(inside)] == inside and (len(r["ids"]) == 4096 or len(inside) & (len(inside) - 1) == 0)
+OPAQUE = """<html><body><div class=x1><div><a href=/>Home</a> and <i>more</i></div><p>Always the same line here</p></div>
+<div class=x2><div class=x3><h1>Title {n}</h1><p>{a}</p><div class=x4>Read on below</div><p>{b}</p><p>{n} &amp; <b>rest</b> of it</p></div></div>
+<div class=x5><p>Written by nobody, all rights kept</p><div class=x6>Call us today</div></div></body></html>"""
+
+
+def test_wrappers_decide_without_names(spark, monkeypatch):
+    """No element, role, class or id of these pages tells story from boilerplate, and the lists of names are empty."""
+    for name in ("DROPPED", "ROLES", "HINTS"):
+        monkeypatch.setattr(html, name, {"head", "script", "style"} if name == "DROPPED" else set())
+    rng = random.Random(12)
+    stories = {n: (prose(rng, 40), prose(rng, 25)) for n in range(30)}
+    pages = {n: OPAQUE.format(n=n, a=a, b=b) for n, (a, b) in stories.items()}
+    wrapper = html.induced([pages[n] for n in range(8)])
+    assert wrapper["slot"][-2:] == ["div.x2", "div.x3"]
+    want = {n: "\n".join([f"Title {n}", a, b, f"{n} & rest of it"]) for n, (a, b) in stories.items()}
+    assert {n: html.main_text(p, wrapper) for n, p in pages.items()} == want
+    assert all(html.decided(p, wrapper) for p in pages.values())
+    rows = [(n, f"https://opaque.example/{n}", p) for n, p in pages.items()]
+    out = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == want
+
+
+def test_wrappers_prefer_the_story_element():
+    page = "<body><div class=q>{n} weather {n} today, more of it</div><article><h1>T{n}</h1><p>{n} story {n} text with words</p></article><footer>f</footer></body>"
+    wrapper = html.induced([page.format(n=n) for n in range(6)])
+    assert wrapper["slot"][-1] == "article" and html.decided(page.format(n=9), wrapper)
+    assert html.main_text(page.format(n=9), wrapper) == "T9\n9 story 9 text with words"
+    assert html.main_text("<body><main><p>other layout</p></main>tail</body>", wrapper) == "other layout"
+    assert not html.decided("<body><main><p>other layout</p></main>tail</body>", wrapper)
+
+
+def test_html_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    out = html.extracted(empty)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
+def most_pairs(a, b):
+    """The greatest simple tree matching, over all ordered pairings of children."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[2], b[2]
+    best = 0
+    for k in range(min(len(x), len(y)) + 1):
+        for i in itertools.combinations(range(len(x)), k):
+            for j in itertools.combinations(range(len(y)), k):
+                each = [most_pairs(x[p], y[q]) for p, q in zip(i, j)]
+                if all(each):
+                    best = max(best, sum(each))
+    return 1 + best
+
+
+def test_simple_tree_matching_by_brute_force():
+    rng = random.Random(13)
+
+    def tree(depth):
+        if depth and rng.random() < 0.3:
+            return ["#", rng.choice("xyz"), [], 1]
+        return [rng.choice(["p", "div", "ul"]), "", [tree(depth + 1) for _ in range(rng.randint(0, 4 - depth))], 1]
+
+    for _ in range(300):
+        a, b = tree(0), tree(0)
+        found = []
+        assert html.matching(a, b, found) == most_pairs(a, b)
+        assert all(p[0] == q[0] == "#" for p, q in found) and len({id(p) for p, _ in found}) == len(found)
+
+
