@@ -9,7 +9,9 @@ links, so a large group costs its size and not its square; components follow fro
 
 Cases: texts without words (null, empty, blank) have fingerprint zero and link like any other; fewer than four words
 make one shingle; repeated rows and rows with equal fingerprints are one node; a null ``doc_id`` is kept, and its
-component is the smallest known ``doc_id`` of its group, null if there is none; an empty table gives no rows.
+component is the smallest known ``doc_id`` of its group, null if there is none; very long texts are fingerprinted
+whole, their shingles' bits counted together; columns other than ``doc_id`` and ``text`` are not read, so their names
+cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,53 +27,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.common import components, forest, map_arrow, partitions, planes, ship, unplanes, written
+from quarry.llm.common import components, forest, group_arrow, map_arrow, partitions, planes, ship, unplanes, written
 
 SHINGLE = 4
 RADIUS = 4
-#: A tile has about this many fingerprints, or more when that would make over MOST_TILES tiles.
-TILE, MOST_TILES = 8192, 320
+#: A tile has about this many fingerprints, packed in so many pieces; its number grows with the input.
+TILE, PIECES = 8192, 8
+#: Tasks that pairs of tiles are spread over at most; each takes its pairs one by one.
+MOST_TASKS = 20_000
 BLOCK = 256
+#: Shingles whose bits are counted together.
+LONG = 200_000
 QUARTERS = np.array([0, 16, 32, 48], np.uint64)
 
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
-    """XXH64 of each shingle of a text; of its whole word sequence if that is shorter; none without words."""
-    words = (text or "").encode().lower().split()
-    if len(words) <= width:
-        return [_hash(b" ".join(words))] if words else []
+def shingle_hashes(words: list[bytes], width: int = SHINGLE) -> list[int]:
+    """XXH64 of each shingle of some words; of the whole sequence if it is shorter; none without words."""
     joined = b" ".join(words)
+    if len(words) <= width:
+        return [_hash(joined)] if words else []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-width] + 1])
     return [_hash(joined[a:z]) for a, z in zip(starts.tolist(), ends[width - 1 :].tolist())]
 
 
+def _bits(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
 def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
-    """Fingerprints (unsigned 64-bit) of some texts."""
+    """Fingerprints (unsigned 64-bit) of some texts; the shingles of a text over ``LONG`` are counted slice by slice."""
     out = np.zeros(len(texts), np.uint64)
     at: list[int] = []
     sizes: list[int] = []
     hashes: list[int] = []
 
+    def packed(set_in: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.packbits(set_in * 2 > n, axis=1).view("<u8").reshape(-1)
+
     def done() -> None:
         if at:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1)
             starts = np.cumsum([0, *sizes[:-1]])
-            set_in = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            over = set_in * 2 > np.array(sizes)[:, None]
-            out[at] = np.packbits(over, axis=1).view("<u8").reshape(-1)
+            out[at] = packed(np.add.reduceat(_bits(hashes), starts, axis=0, dtype=np.int32), np.array(sizes)[:, None])
             for x in (at, sizes, hashes):
                 x.clear()
 
     for i, text in enumerate(texts):
-        found = shingle_hashes(text, width)
+        words = (text or "").encode().lower().split()
+        n = len(words) - width + 1
+        if n > LONG:
+            set_in = sum(_bits(shingle_hashes(words[a : min(a + LONG, n) + width - 1], width)).sum(axis=0, dtype=np.int64) for a in range(0, n, LONG))
+            out[i] = packed(set_in[None], np.array([[n]]))[0]
+            continue
+        found = shingle_hashes(words, width)
         if found:
             at.append(i)
             sizes.append(len(found))
             hashes += found
-        if len(hashes) > 400_000:
+        if len(hashes) > LONG:
             done()
     done()
     return out
@@ -132,30 +147,35 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[
     return forest(np.concatenate(left), np.concatenate(right))
 
 
-def _tiles(cells: pd.DataFrame, size: int) -> tuple[pd.DataFrame, list[tuple[int, int, int, int]]]:
-    """Tiles of consecutive cells (population counts of the whole, of quarters 0 and 1), a large cell over several.
-
-    Gives each cell's first tile and number of tiles, and each tile's least and greatest whole count and quarter 0.
-    """
+def _tiles(cells: pd.DataFrame, size: int) -> tuple[pd.DataFrame, int]:
+    """Each cell's first tile and number of tiles, and the number of all: tiles hold consecutive cells (population
+    counts of the whole, of quarters 0 and 1), a large cell fills several."""
     cells = cells.sort_values(["pop", "q0", "q1"]).reset_index(drop=True)
-    first, ways, bounds, filled = [], [], [], 0
-    for pop, q0, n in zip(cells["pop"], cells["q0"], cells["n"]):
+    first, ways, tiles, filled = [], [], 0, size
+    for n in cells["n"].tolist():
         if n > size:
             k = -(-n // size)
-            first.append(len(bounds))
+            first.append(tiles)
             ways.append(k)
-            bounds += [[pop, pop, q0, q0] for _ in range(k)]
-            filled = size
+            tiles, filled = tiles + k, size
         else:
-            if not bounds or filled + n > size:
-                bounds.append([pop, pop, q0, q0])
-                filled = 0
-            b = bounds[-1]
-            bounds[-1] = [min(b[0], pop), max(b[1], pop), min(b[2], q0), max(b[3], q0)]
-            first.append(len(bounds) - 1)
+            if filled + n > size:
+                tiles, filled = tiles + 1, 0
+            first.append(tiles - 1)
             ways.append(1)
             filled += n
-    return cells.assign(first=first, ways=ways), [tuple(int(v) for v in b) for b in bounds]
+    return cells.assign(first=first, ways=ways), tiles
+
+
+def _pairs(cells: DataFrame, radius: int) -> DataFrame:
+    """Pairs of tiles (i <= j) whose ranges of population counts do not rule out a link."""
+    each = cells.select(F.explode(F.sequence("first", F.col("first") + F.col("ways") - 1)).alias("tile"), "pop", "q0")
+    boxes = each.groupBy("tile").agg(F.min("pop").alias("p0"), F.max("pop").alias("p1"), F.min("q0").alias("q0"), F.max("q0").alias("q1"))
+    left = boxes.select(F.col("tile").alias("i"), F.struct("p0", "p1", "q0", "q1").alias("a"), F.explode(F.sequence("p0", "p1")).alias("pop"))
+    right = boxes.select(F.col("tile").alias("j"), F.struct("p0", "p1", "q0", "q1").alias("b"), F.explode(F.sequence(F.col("p0") - radius, F.col("p1") + radius)).alias("pop"))
+    apart = lambda low, high: F.greatest(F.col(f"a.{low}") - F.col(f"b.{high}"), F.col(f"b.{low}") - F.col(f"a.{high}"))
+    near = left.join(right, "pop").where((F.col("i") <= F.col("j")) & (apart("p0", "p1") <= radius) & (apart("q0", "q1") <= radius))
+    return near.select("i", "j").distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -168,27 +188,27 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     cells = counted.groupBy("pop", "q0", "q1").agg(F.count("*").alias("n")).toPandas()
     if not len(cells):
         return spark.createDataFrame([], "a long, b long")
-    size = max(TILE, -(-int(cells["n"].sum()) // MOST_TILES))
-    cells, bounds = _tiles(cells, size)
-    lookup = spark.createDataFrame(cells[["pop", "q0", "q1", "first", "ways"]].astype("int32"))
-    tile = (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("ways").cast("long"))).cast("int")
-    dealt = counted.join(F.broadcast(lookup), ["pop", "q0", "q1"]).select(tile.alias("tile"), "fp")
+    cells, tiles = _tiles(cells, TILE)
+    lookup = spark.createDataFrame(pa.Table.from_pandas(cells[["pop", "q0", "q1", "first", "ways"]].astype("int32"), preserve_index=False))
+    mixed = F.xxhash64("fp")
+    tile = (F.col("first") + F.pmod(mixed, F.col("ways").cast("long"))).cast("int")
+    piece = F.pmod(F.shiftrightunsigned(mixed, 40), F.lit(PIECES))
+    dealt = counted.join(F.broadcast(lookup), ["pop", "q0", "q1"]).select(tile.alias("tile"), piece.alias("piece"), "fp")
 
     def pack(t: pa.Table) -> pa.Table:
         return pa.table({"tile": t.column("tile").slice(0, 1).combine_chunks(), "data": pa.array([planes(t.column("fp").to_numpy())], pa.binary())})
 
-    packed = written(dealt.groupBy("tile").applyInArrow(pack, "tile int, data binary"), "tiles")
-    box = np.array(bounds)
-    near = np.maximum(*(np.maximum(0, np.maximum(box[:, None, k] - box[None, :, k + 1], box[None, :, k] - box[:, None, k + 1])) for k in (0, 2))) <= radius
-    i, j = np.nonzero(np.triu(near))
-    pairs = spark.createDataFrame(pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")}))
+    pieces = group_arrow(dealt.groupBy("tile", "piece"), pack, "tile int, data binary")
+    packed = written(pieces.groupBy("tile").agg(F.collect_list("data").alias("data")), "tiles")
+    pairs = _pairs(lookup, radius)
     both = pairs.join(packed.select(F.col("tile").alias("i"), F.col("data").alias("x")), "i").join(packed.select(F.col("tile").alias("j"), F.col("data").alias("y")), "j")
-    spread = both.repartition(max(partitions(fps), min(len(i), 4096)), "i", "j")
+    spread = both.repartition(max(partitions(fps), min(tiles * (tiles + 1) // 2, MOST_TASKS)), "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda parts: np.concatenate([unplanes(p.as_buffer(), "u8") for p in parts.values])
         for batch in batches:
             for p, q, x, y in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["x"], batch["y"]):
-                a, b = close_pairs(unplanes(x.as_buffer(), "u8"), unplanes(y.as_buffer(), "u8"), radius, p == q)
+                a, b = close_pairs(whole(x), whole(y), radius, p == q)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

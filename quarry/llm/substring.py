@@ -24,19 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quarry.llm.common import cogroup_arrow, distinct_words, group_arrow, map_arrow, planes, portions, ship, unplanes, written
+from quarry.llm.common import cogroup_arrow, group_arrow, map_arrow, planes, portions, ship, unplanes, written
 
 WINDOW = 50
 #: Odd multipliers of the rolling hashes, and of the mixing step.
 BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-#: Bytes of text that are hashed together, and words of a text that are rolled over together.
-RUN, SLICE = 2 << 20, 1 << 18
+#: Bytes of text that are split together, words that are rolled over together, and bytes that are hashed together.
+RUN, SLICE, BYTES = 2 << 20, 1 << 18, 1 << 19
 #: A group of documents, and a bucket of hashes, for about so many bytes of (compressed) input.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Bits of an anchor's hash that travel; its bucket adds what tells it apart.
@@ -50,26 +49,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+    """The powers of ``base`` from 0 to ``n`` at least."""
+    found = _POWERS.get(base)
+    if found is None or len(found) <= n:
+        found = _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + (n >> 3), base, np.uint64)]), dtype=np.uint64)
+    return found
+
+
+_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of a word are hashed as the digits that a fixed seed deals them, in powers of an odd number.
+BYTE_BASE = 0x9FB21C651E98DF25
+LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
 
 
 class Hashed:
-    """The words of some texts and their hashes."""
-
-    def __init__(self, texts: pa.Array, ways: tuple[int, ...]) -> None:
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
-        real = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
-        kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-        self.offsets = kept[offsets - offsets[0]]
-        index, distinct = distinct_words(flat.filter(real))
-        self.hashes = {k: np.fromiter((xxhash.xxh3_64_intdigest(w, seed=k + 1) for w in distinct), np.uint64, len(distinct))[index] for k in ways}
-        self.n = len(index)
+    """The words of some texts and their hashes, by array operations over the texts' bytes."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts, "")
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        byte = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        at -= at[0]
+        solid = (byte != 32) & ((byte - np.uint8(9)) > 4)
+        edge = np.zeros(len(byte) + 1, bool)  # no word crosses from one text to the next
+        edge[at] = True
+        apart = np.concatenate([[True], ~solid, [True]])
+        starts = np.flatnonzero(solid & (apart[:-2] | edge[:-1]))
+        ends = np.flatnonzero(solid & (apart[2:] | edge[1:])) + 1
+        self.n = len(starts)
+        self.offsets = np.searchsorted(starts, at)
+        self.hash = np.empty(self.n, np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(byte) + BYTES, BYTES))
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+            if i < j:
+                low, high = int(starts[i]), int(ends[j - 1])
+                powers, back = _powers(BYTE_BASE, high - low), _powers(pow(BYTE_BASE, -1, 1 << 64), high - low)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[byte[low:high]] * powers[: high - low], dtype=np.uint64)])
+                a, z = starts[i:j] - low, ends[i:j] - low
+                self.hash[i:j] = _mixed((sums[z] - sums[a]) * back[a] + (z - a).astype(np.uint64))
 
     def rolling(self, width: int, way: int) -> np.ndarray:
         """The hash of the ``width`` words from each word on (those that cross a text's end mean nothing)."""
-        h = self.hashes[way]
+        h = _mixed(self.hash + np.uint64(way)) if way else self.hash
         out = np.empty(max(0, self.n - width + 1), np.uint64)
         size = min(SLICE, len(out))
         powers, back = _powers(BASE[way], size + width), _powers(pow(BASE[way], -1, 1 << 64), size)
@@ -124,17 +146,18 @@ def _batch(rows: list[tuple]) -> pa.Table:
 def _dealt(to: np.ndarray, of: int, kind: int, doc: np.ndarray, hashes: list[tuple[np.ndarray, int]]) -> list[tuple]:
     """A row per value of ``to``; ``hashes`` are arrays and how many of their low bytes travel. Documents, in order
     within a row, are run-length coded."""
-    order = np.lexsort((doc, to))
-    to, doc = to[order], doc[order]
-    hashes = [(h[order], n) for h, n in hashes]
+    if len(to) and (to[1:] < to[:-1]).any():
+        order = np.argsort(to, kind="stable")
+        to, doc, hashes = to[order], doc[order], [(h[order], n) for h, n in hashes]
     starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
     ends = np.concatenate([starts[1:], [len(to)]])
     out = []
     for a, z in zip(starts.tolist(), ends.tolist()):
-        own = doc[a:z]
+        order = np.argsort(doc[a:z])
+        own = doc[a:z][order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         sizes = np.diff(np.concatenate([first, [z - a]]))
-        out.append((int(to[a]), of, kind, planes(own[first]), planes(sizes.astype("<u4")), b"".join(planes(h[a:z])[: n * (z - a)] for h, n in hashes)))
+        out.append((int(to[a]), of, kind, planes(own[first]), planes(sizes.astype("<u4")), b"".join(planes(h[a:z][order])[: n * (z - a)] for h, n in hashes)))
     return out
 
 
@@ -155,12 +178,17 @@ def _opened(t: pa.Table, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts equal keys side by side, and where each run of them starts."""
-    order = np.lexsort(keys)
+    """The order that puts equal keys side by side (by the last key first), and where each run of them starts."""
+    order = np.argsort(keys[-1])
     fresh = np.zeros(len(order), bool)
     fresh[:1] = True
-    for k in keys:
-        fresh[1:] |= k[order[1:]] != k[order[:-1]]
+    last = keys[-1][order]
+    fresh[1:] = last[1:] != last[:-1]
+    for k in keys[:-1]:
+        k = k[order]
+        if (k[1:] != k[:-1])[~fresh[1:]].any():  # the last key alone does not tell all of them apart: hardly ever
+            order = np.lexsort(keys)
+            return order, np.flatnonzero(np.logical_or.reduce([np.concatenate([[True], x[1:] != x[:-1]]) for x in (y[order] for y in keys)]))
     return order, np.flatnonzero(fresh)
 
 
@@ -181,19 +209,19 @@ def anchors(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
         texts, ids = rows.column("text").combine_chunks(), rows.column("doc_id").to_numpy()
         kinds: list[list[tuple]] = [[], []]
         for a, z in _runs(texts):
-            t = Hashed(texts.slice(a, z - a), (0,))
+            t = Hashed(texts.slice(a, z - a))
             at, text, place = _places(t.offsets, window, block)
             if not len(at):
                 continue
             h, doc = t.rolling(block, 0)[at], ids[a:z][text]
             aligned = place % block == 0
-            for kind, (x, d) in enumerate(((h, doc), (h[aligned], doc[aligned]))):
-                least, most, (x,) = _least(d, x)
-                kinds[kind].append((least if kind else most, x))
+            kinds[PROBE].append((doc, h))
+            kinds[BLOCK].append((doc[aligned], h[aligned]))
         out = []
         for kind, held in enumerate(kinds):
             if held:
                 doc, h = (np.concatenate(x) for x in zip(*held))
+                held.clear()
                 least, most, (h,) = _least(doc, h)
                 out += _dealt(_bucket(h, buckets).astype(np.int64), rows.column("bucket")[0].as_py(), kind, least if kind else most, [(h, ANCHOR_BITS // 8)])
         return _batch(out)
@@ -217,7 +245,7 @@ def _beside(texts: pa.Array, ids: np.ndarray, live: np.ndarray, buckets: int, wi
     """(document, hash, more hash) of the windows that hold a live block."""
     block = window // 2
     for a, z in _runs(texts):
-        t = Hashed(texts.slice(a, z - a), (0, 1))
+        t = Hashed(texts.slice(a, z - a))
         at, text, _ = _places(t.offsets, window, block)
         if not len(at):
             continue
@@ -290,7 +318,7 @@ def _removed(texts: pa.Array, ids: np.ndarray, shared: pa.Table, window: int) ->
     h, more, least = h[order], more[order], least[order]
     out: dict[int, np.ndarray] = {}
     for a, z in _runs(texts) if len(h) else ():
-        t = Hashed(texts.slice(a, z - a), (0, 1))
+        t = Hashed(texts.slice(a, z - a))
         at, text, place = _places(t.offsets, window, window)
         own = t.rolling(window, 0)[at] if len(at) else np.zeros(0, np.uint64)
         hit = np.flatnonzero(_among(own, h))
