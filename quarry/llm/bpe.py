@@ -8,6 +8,8 @@ side depends on those two alone and is memoised, so each position is visited a b
 
 Cases: null or empty text has no ids; bytes outside the vocabulary raise KeyError; decoding joins token bytes, so
 it returns the text's UTF-8 exactly. Special tokens are not recognised: their spelling is ordinary text.
+Repeated rows are encoded each; very long texts are encoded whole, each in a run of its own; an empty table gives no
+rows; only the key and the text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ number of nodes, so buckets stay small; the number of tables grows with it.
 
 Cases: null labels, null, empty or zero vectors, null or non-finite components, and a null ``vec_id`` link with
 nothing (``component_id`` is the row's own ``vec_id``); rows that repeat a vector count as other vectors; vectors of
-different lengths are never compared; an empty table gives no rows.
+different lengths are never compared; an empty table gives no rows; only ``vec_id``, ``embedding`` and ``label`` are
+read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

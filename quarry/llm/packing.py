@@ -8,7 +8,8 @@ at the least number of windows that could hold the group and rises while any win
 are bounded and never cross a partition, so nothing is shuffled and a lost task repeats itself exactly.
 
 Cases: null text counts as empty, an empty document is the end id alone, repeated rows are packed each on its own,
-an empty table gives no pieces.
+very long texts fill whole windows one by one, an empty table gives no pieces; only ``doc_id`` and ``text`` are read,
+so other columns' names cannot clash.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ column expression, so scoring is a projection over the scan: no Python, no shuff
 
 Cases: null text counts as empty and gets a score like any other; null labels are not learned from; when the labelled
 rows hold one class or none, the score is their share of 1 (0.5 without rows); repeated ``doc_id`` in the labels
-count once; an empty table gives no rows.
+count once; repeated rows get equal scores, and a score that ties with the threshold reaches it; very long texts are
+measured whole; an empty table gives no rows; extra columns stay, but for ``score`` and ``predicted``.
 """
 
 from __future__ import annotations

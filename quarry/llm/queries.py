@@ -70,4 +70,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the operators that it can express; hashes of the others' definitions and trained models are beyond it.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring": r"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM split),
+win AS (SELECT doc_id, p, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS n FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+least AS (SELECT seq, min(doc_id) AS doc_id FROM win WHERE n = 50 GROUP BY seq HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT win.doc_id, p FROM win JOIN least USING (seq) WHERE n = 50 AND win.doc_id > least.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hit),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+""",
+    "op3_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+links AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least.b AS component_id, vec_id = least.b AS kept FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
+""",
+}

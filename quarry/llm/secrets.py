@@ -13,7 +13,7 @@ Pattern matches always stay; a tagged run is added whole as kind ``crf`` unless
 only overlaps a match says what the match misses. Offsets are code points, ends exclusive.
 
 Cases: null or blank text has no spans; very long texts and repeated rows are scanned whole; an empty table gives no
-rows.
+rows; extra columns stay, but for ``spans``, which is replaced.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ A record holds whole documents: a header, each document's key and length, and it
 of the ids (a block that would not shrink is stored raw). ``write`` gives a DataFrame of records to be stored as a
 Parquet table; ``read`` decodes one record at a time and raises ValueError when a checksum fails.
 
-Cases: null or empty text has the end id alone; a document longer than a record gets a record of its own; ids of 2^16
-and more are stored raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no
+Cases: null or empty text has the end id alone; a document longer than a record gets a record of its own, coded
+``LANES`` blocks at a time, so that only its ids grow with it; ids of 2^16 and more are stored raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no
 records.
 """
 
@@ -34,8 +34,8 @@ from quarry.llm.words import words
 
 MAGIC = b"QIDS0001"
 BLOCK = 2048
-#: Ids that a record holds, more only for one long document.
-RECORD = 4 << 20
+#: Ids that a record holds, more only for one long document; blocks that are coded side by side.
+RECORD, LANES = 4 << 20, 2048
 SLOTS = 2048
 RATE, LEARN = 4, 6
 
@@ -222,12 +222,15 @@ def pack(ids: np.ndarray) -> bytes:
     sizes = np.minimum(len(ids) - cuts, BLOCK)
     coded = [b""] * len(cuts)
     if len(ids) and ids.max() < 1 << 16:
-        lanes = np.zeros((len(cuts), BLOCK), np.int32)
-        for i, a in enumerate(cuts.tolist()):
-            lanes[i, : sizes[i]] = ids[a : a + BLOCK]
-        coder = _Encoder(len(cuts))
-        _run(coder, lanes, sizes, True)
-        coded = coder.done()
+        for k in range(0, len(cuts), LANES):
+            some = cuts[k : k + LANES].tolist()
+            lanes = np.zeros((len(some), BLOCK), np.int32)
+            for lane, a in zip(lanes, some):
+                part = ids[a : a + BLOCK]
+                lane[: len(part)] = part
+            coder = _Encoder(len(some))
+            _run(coder, lanes, sizes[k : k + LANES], True)
+            coded[k : k + LANES] = coder.done()
     parts = [struct.pack("<I", len(cuts))]
     for a, n, c in zip(cuts.tolist(), sizes.tolist(), coded):
         raw = ids[a : a + n].astype("<u4").tobytes()
@@ -250,12 +253,13 @@ def unpack(data: bytes) -> np.ndarray:
         at += size
     coded = [i for i, h in enumerate(heads) if h[1]]
     out: list[np.ndarray] = [np.frombuffer(b, "<u4") if not h[1] else np.zeros(0, "<u4") for h, b in zip(heads, bodies)]
-    if coded:
-        coded.sort(key=lambda i: -heads[i][0])
-        sizes = np.array([heads[i][0] for i in coded])
-        lanes = np.zeros((len(coded), BLOCK), np.int32)
-        _run(_Decoder([bodies[i] for i in coded]), lanes, sizes, False)
-        for row, i in zip(lanes, coded):
+    coded.sort(key=lambda i: -heads[i][0])
+    for k in range(0, len(coded), LANES):
+        some = coded[k : k + LANES]
+        sizes = np.array([heads[i][0] for i in some])
+        lanes = np.zeros((len(some), BLOCK), np.int32)
+        _run(_Decoder([bodies[i] for i in some]), lanes, sizes, False)
+        for row, i in zip(lanes, some):
             out[i] = row[: heads[i][0]].astype("<u4")
     for (_, _, crc), ids in zip(heads, out):
         if zlib.crc32(ids.tobytes()) != crc:
