@@ -15,7 +15,7 @@ from quarry.operators.rows import transform as _transform
 Done = tuple[DataFrame, dict]
 
 
-def _tidy(name: str, lowercase: bool) -> str:
+def tidy(name: str, lowercase: bool) -> str:
     text = re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_")
     text = f"column_{text}" if text[:1].isdigit() or not text else text
     return text.lower() if lowercase else text
@@ -26,7 +26,7 @@ def normalize_columns(df: DataFrame, lowercase: bool = True, replacements: dict
     taken: set[str] = set()
     renamed = {}
     for c in df.columns:
-        new = c if c == ORDER else (replacements or {}).get(c) or _tidy(c, lowercase)
+        new = c if c == ORDER else (replacements or {}).get(c) or tidy(c, lowercase)
         base, k = new, 2
         while new in taken:
             new, k = f"{base}_{k}", k + 1

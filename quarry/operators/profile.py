@@ -13,7 +13,7 @@ from quarry.operators.cleaning import bounds
 from quarry.operators.missing import missing_patterns
 
 TYPED_SHARE, TEXT_RATIO, TEXT_LENGTH = 0.8, 0.9, 20
-REDUNDANT, LEAKING, SKEWED, HEAVY = 0.95, 0.98, 1.0, 0.05
+REDUNDANT, LEAKING, SKEWED, HEAVY = 0.95, 0.98, 1.0, 2.0
 ID_NAME = re.compile(r"(^|_)(id|key|code|uuid|guid)$", re.I)
 POSITIVE = ("1", "true", "yes", "y", "t")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.values import ORDER, key, missing, names_of, one_row
 from quarry.operators import auto, categories, cleaning, dates, entities, profile, rows, selection
@@ -40,6 +42,7 @@ def generic_numeric_features(df, columns=(), max_features: int = 12):
     return entities.composed(df, steps)
 
 
+# Fixed names: steps, and those that run by default, in order.
 FEATURE_STEPS: dict[str, Callable] = {
     "date_parts": dates.date_parts,
     "cyclical_dates": dates.cyclical_dates,
@@ -91,8 +94,6 @@ def infer_columns(df: DataFrame, id_columns=None, date_columns=None, aggregation
         texts = [c for c in kinds if kinds[c] == "categorical"]
         if texts:
             n = df.count()
-            from pyspark.sql import functions as F
-
             many = one_row(df, *(F.count_distinct(F.when(~missing(df, c), key(df, c))).alias(c) for c in texts))
             repeats = max((n / many[c], c) for c in texts if many[c])
             ids = [repeats[1]] if repeats[0] > 1.5 else []
@@ -150,33 +151,61 @@ def analyze(df: DataFrame, analyzers=None, **options) -> dict[str, object]:
 
 
 def recipe(df: DataFrame, target: str | None = None) -> dict:
-    """Cleaning and feature steps that the findings call for, each with its reason."""
-    roles = profile.column_roles(df, target=target)
-    facts = {r["column"]: r for r in profile.missing_values(df)[0].collect()}
-    clean: list[dict] = [{"step": "normalize_columns", "reason": "plain names"}, {"step": "strip_whitespace", "reason": "texts may carry white space or missing tokens"}, {"step": "coerce_types", "reason": "texts may hold numbers"}]
-    repeated = profile.duplicates(df).where("key = 'rows'").head()
-    if repeated["n_repeated"]:
-        clean.append({"step": "drop_duplicates", "reason": f"{repeated['n_repeated']} repeated rows"})
-    heavy = [c for c, f in facts.items() if f["too_many"]]
-    if heavy:
-        clean.append({"step": "drop_missing_columns", "reason": f"mostly missing: {', '.join(heavy)}"})
-    if roles["constant"] or roles["empty"]:
-        clean.append({"step": "drop_constant_columns", "reason": f"no information: {', '.join(roles['constant'] + roles['empty'])}"})
-    wild = [r["column"] for r in profile.outliers(df, roles["aggregation"]).where("rate > 0.05").collect()] if roles["aggregation"] else []
-    if wild:
-        clean.append({"step": "clip_outliers", "columns": wild, "reason": "over five in a hundred beyond the quartile bounds"})
-    features: list[dict] = []
-    if any(f["n_missing"] for f in facts.values()):
-        features.append({"step": "impute_auto", "reason": "there are holes"})
-    if roles["dates"]:
-        features.append({"step": "date_parts", "reason": "there are dates"})
-    grained = profile.grain(df).head().asDict()
-    if grained["verdict"] == "event log":
-        windows = profile.windows_for(grained.get("median_span_days"))
-        features += [{"step": "group_aggregates", "reason": "entities repeat"}, {"step": "event_gaps", "reason": "entities repeat in time"}] + ([{"step": "rolling_windows", "windows": windows, "reason": "entities last long enough"}] if windows else [])
-    if roles["categorical"]:
-        features.append({"step": "frequency_encoding", "reason": "there are categories"})
-    return {"cleaning": clean, "features": features, "roles": roles}
+    """Cleaning and feature steps that the findings call for, each with its reason and options, and the columns' roles."""
+    roles, kinds = profile.column_roles(df, target=target), profile.column_kinds(df)
+    measured, dated, levelled = roles["aggregation"], roles["dates"], roles["categorical"]
+    holes = {r["column"]: r for r in profile.missing_values(df)[0].collect() if r["n_missing"]}
+    shapes = {r["column"]: r for r in profile.distributions(df, measured).collect()} if measured else {}
+    skewed = [c for c in measured if c in shapes and shapes[c]["is_skewed"]]
+    wild = [r["column"] for r in profile.outliers(df, measured).where("rate > 0 and rate <= 0.05").collect()] if measured else []
+    grained = profile.grain(df, roles["ids"], dated).head().asDict()
+    many = {r["column"]: r["n_distinct"] for r in profile.per_column(df, levelled, lambda c: {"n_distinct": F.approx_count_distinct(F.when(~missing(df, c), key(df, c)))}).collect()} if levelled else {}
+    log = grained["verdict"] == "event log"
+
+    def asked(*entries) -> list[dict]:
+        return [{"step": step, "reason": reason, **(more[0] if more else {})} for wanted, step, reason, *more in entries if wanted]
+
+    names = ", ".join
+    untidy = [c for c in kinds if c != cleaning.tidy(c, True)]
+    written = [c for c, k in kinds.items() if k in ("numeric", "date", "boolean") and isinstance(df.schema[c].dataType, T.StringType)]
+    idle = roles["constant"] + roles["empty"]
+    heavy = [c for c, r in holes.items() if r["missing_rate"] > 0.5 and c != target]
+    clipped = [c for c in wild if c not in skewed]
+    clean = asked(
+        (untidy, "normalize_columns", f"names that are no feature names: {names(untidy)}"),
+        (any(k in ("categorical", "text") for k in kinds.values()), "strip_whitespace", "padding would split levels of texts"),
+        (written, "coerce_types", f"numbers or dates written as text: {names(written)}"),
+        (profile.duplicates(df).where("key = 'rows'").head()["n_repeated"], "drop_duplicates", "rows repeat and would be counted twice"),
+        (idle, "drop_constant_columns", f"no information: {names(idle)}"),
+        (heavy, "drop_missing_columns", f"mostly missing: {names(heavy)}", {"max_missing_rate": 0.5}),
+        (target in holes, "drop_missing_rows", f"rows without {target} teach nothing", {"columns": [target]}),
+        (holes, "fill_missing", "holes remain", {"strategy": "auto"}),
+        (clipped, "clip_outliers", f"a few extreme values: {names(clipped)}", {"columns": clipped, "method": "iqr"}),
+    )
+    windows = profile.windows_for(grained.get("median_span_days")) if log and dated else []
+    wide = [c for c in levelled if many.get(c, 0) > 10]
+    tails = any(abs(shapes[c]["skew"] or 0) >= profile.HEAVY for c in skewed)
+    features = asked(
+        (holes, "missing_indicators", "that a cell was empty can tell something"),
+        (dated, "date_parts", "there are dates"),
+        (dated, "recency", "how long ago a date is"),
+        (len(dated) > 1, "date_differences", "there are several dates a row"),
+        (log, "group_aggregates", "entities repeat"),
+        (log, "group_relative", "a row against its entity's own history"),
+        (log and dated, "event_gaps", "entities repeat in time"),
+        (log and dated, "cumulative", "what an entity did up to a row"),
+        (windows, "rolling_windows", "entities last long enough", {"windows": windows}),
+        (log and dated, "trend", "where a measurement is heading"),
+        (levelled, "frequency_encoding", "there are categories"),
+        (wide, "rare_category_grouping", f"rare levels: {names(wide)}"),
+        (wide, "ordinal_encoding", "too many levels for a column each"),
+        (levelled and not wide, "one_hot_encoding", "few levels", {"max_categories": 10}),
+        (skewed, "math_transformations", f"skewed: {names(skewed)}", {"operations": ["log1p"]}),
+        (tails, "binning", "a heavy tail reads better in bands"),
+        (len(measured) >= 3, "row_statistics", "several measurements a row"),
+        (2 <= len(measured) <= 6, "ratios", "one measurement against another"),
+    )
+    return {"cleaning": clean, "features": features, "roles": roles, "level": "entity" if log else "row"}
 
 
 def describe_step(name: str, steps: dict[str, Callable]) -> dict:

@@ -6,6 +6,8 @@ since means of cents often end in an exact half of the last digit, which two eng
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from quarry.functions.values import ORDER
 from quarry.operators import auto, categories, cleaning, dates, entities, missing, profile, rows, selection
 from quarry.plans import registry
-from quarry.sources import readers
+from quarry.sources import readers, sinks
 from quarry.streaming import entities as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +118,76 @@ def _(t):
     return readers.coerced(text, ["code", "part", "odd"])
 
 
+def _stored(df: DataFrame, name: str) -> str:
+    """A path for files of a query's own, in the folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="quarry-files-")
+    return f"{folder}/files-{uuid.uuid4().hex}/{name}"
+
+
+CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer"
+
+
+def customers(t) -> DataFrame:
+    return t("customer").select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+
+
+@query("read_delimited", CUSTOMERS)
+def _(t):
+    df = customers(t)
+    return readers.read_delimited(df.sparkSession, sinks.write_csv(df, _stored(df, "customers.csv"), ";")).df
+
+
+@query("read_delimited_packed", "SELECT c_custkey, c_mktsegment FROM (" + CUSTOMERS + ")")
+def _(t):
+    df = customers(t)
+    df.write.option("header", True).option("compression", "gzip").option("sep", "|").csv(path := _stored(df, "customers.psv"))
+    return readers.read_delimited(df.sparkSession, path, columns=["c_custkey", "c_mktsegment"]).df
+
+
+@query("read_json", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def _(t):
+    df = t("nation").select("n_nationkey", "n_name")
+    one = df.agg(F.to_json(F.struct(F.lit("nations").alias("title"), F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))).alias("value"))  # 25 rows
+    one.coalesce(1).write.text(path := _stored(df, "nations.json"))
+    return readers.read_json(df.sparkSession, path, record_path="rows").df
+
+
+@query("read_jsonl", CUSTOMERS)
+def _(t):
+    df = customers(t)
+    return readers.read_jsonl(df.sparkSession, sinks.write_data(df, _stored(df, "customers.jsonl"))).df
+
+
+@query("read_parquet", "SELECT c_name, c_acctbal FROM customer")
+def _(t):
+    df = customers(t)
+    return readers.read_parquet(df.sparkSession, sinks.write_data(df, _stored(df, "customers.parquet")), columns="c_name,c_acctbal").df
+
+
+@query("read_table", "SELECT c_custkey, c_acctbal FROM customer")
+def _(t):
+    df = customers(t)
+    df.createOrReplaceTempView("quarry_customers")
+    return readers.read_table(df.sparkSession, "quarry_customers", columns=["c_custkey", "c_acctbal"]).df
+
+
+@query("read_dataset", CUSTOMERS)
+def _(t):
+    df = customers(t)
+    return readers.read_dataset(df.sparkSession, sinks.write_data(df, _stored(df, "customers.ndjson.parquet")), sheet="not taken").df
+
+
+@query("load_rows_of_a_folder", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
+def _(t):
+    df = customers(t).select("c_custkey", "c_name")
+    return readers.load_rows(df.sparkSession, sinks.write_csv(df, _stored(df, "customers.tsv"), "\t"))
+
+
 # ---------------------------------------------------------------- dates
 
 PART_SQL = {
@@ -907,11 +979,11 @@ for _name, _fn, _cols in (
         return selection.rank_features(target(t), "y", method=_name)
 
 
-for _name in ("random_forest", "l1"):
+for _name, _options in (("random_forest", {"trees": 50, "max_depth": 8}), ("l1", {})):
 
     @query(f"rank_features_{_name}")
-    def _(t, _name=_name):
-        return selection.rank_features(target(t), "y", method=_name)
+    def _(t, _name=_name, _options=_options):
+        return selection.rank_features(target(t), "y", method=_name, **_options)
 
 
 @query("screen_features", "SELECT * FROM (VALUES ('same', 'constant'), ('nothing', 'empty'), ('almost', 'quasi_constant'), ('holes', 'high_missing'), ('event_id', 'id_like'), ('ts', 'date_column'), ('copy', 'duplicate of user_id')) v(\"column\", reason)")
@@ -935,9 +1007,47 @@ def _(t):
     return selection.select_features(target(t).withColumns({"twice": F.col("price") * 2 + 1, "leak": F.upper("y")}), "y")
 
 
+@query("rank_features_f_test", _scores(_f, ("price", "digit")))
+def _(t):
+    return selection.rank_features(target(t), "y", ["price", "digit"], "f_test").unionByName(t("part").sparkSession.createDataFrame([("brand", None)], "column string, score double"))
+
+
+@query("rank_features_f_test_of_a_number", f"WITH {SEL}, r AS (SELECT corr(digit, price) ** 2 AS r, count(*) AS n FROM s) SELECT 'digit' AS \"column\", {d('r * (n - 2) / (1 - r)', 'score')} FROM r")
+def _(t):
+    return selection.rank_features(target(t), "price", ["digit"], "f_test", "regression")
+
+
+@query("rank_features_rfe")
+def _(t):
+    return selection.rank_features(target(t), "y", ["price", "brand", "digit"], "rfe")
+
+
+@query("rank_features_permutation")
+def _(t):
+    return selection.rank_features(target(t), "y", ["price", "digit"], "permutation", repeats=2, trees=20, max_depth=8)
+
+
 # ---------------------------------------------------------------- plans and streams
 
 
+def _listed(found: dict) -> list[tuple[str, str]]:
+    return [(k, ",".join(v) if isinstance(v, list) else v) for k, v in found.items()]
+
+
+def plain_events(t) -> DataFrame:
+    return t("events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@query("column_roles", "SELECT * FROM (VALUES ('ids', 'event_id,user_id'), ('dates', 'ts'), ('aggregation', 'value'), ('categorical', 'event_type'), ('text', ''), ('constant', ''), ('empty', ''), ('target', NULL)) v(role, columns)")
+def _(t):
+    return t("events").sparkSession.createDataFrame(_listed(profile.column_roles(plain_events(t))), "role string, columns string")
+
+
+@query("infer_columns", "SELECT * FROM (VALUES ('id_columns', 'event_id,user_id'), ('date_columns', 'ts'), ('aggregation_columns', 'value'), ('categorical_columns', 'event_type')) v(role, columns)")
+def _(t):
+    return t("events").sparkSession.createDataFrame(_listed(registry.infer_columns(plain_events(t))), "role string, columns string")
+
+
 @query("prepare_pipeline", f"WITH {ODD}, e AS (SELECT event_id AS k, event_type FROM events) SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'unknown' ELSE event_type END AS kind FROM o JOIN e ON k = event_id")
 def _(t):
     return registry.prepare(odd(t).withColumn("same", F.lit(1)), ["strip_whitespace", "drop_constant_columns", {"step": "fill_missing", "strategy": "constant", "value": "unknown", "columns": ["kind"]}])[0]

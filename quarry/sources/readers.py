@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from quarry.functions.values import DECIMAL, INTEGER, MISSING_TOKENS, ORDER, names_of, one_row, quoted, stripped
 
 PEEK = 64 * 1024
-DELIMITERS = {".csv": ",", ".tsv": "\t", ".tab": "\t", ".psv": "|"}
+DELIMITERS = {".tsv": "\t", ".tab": "\t", ".psv": "|"}
+SNIFFED = (".csv", ".txt", ".dat")
 JSON_LINES = (".jsonl", ".ndjson")
 PACKED = (".gz", ".bz2", ".xz")
-EXCEL = (".xlsx", ".xlsm")
+EXCEL = (".xlsx", ".xlsm", ".xls")
 
 
 @dataclass(frozen=True)
@@ -126,10 +127,10 @@ def _suffix(path: str) -> str:
 
 def _peek(spark: SparkSession, path: str) -> bytes:
     """The first bytes of a file (decompressed as text readers do)."""
-    if path.lower().endswith(PACKED):
+    row = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, PEEK).alias("c")).limit(1).collect()
+    if row and row[0]["path"].lower().endswith(PACKED):  # a packed file, or a folder of them
         lines = spark.read.text(path).limit(200).collect()
         return "\n".join(r[0] for r in lines).encode()[:PEEK]
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PEEK).alias("c")).limit(1).collect()
     return bytes(row[0]["c"]) if row else b""
 
 
@@ -146,7 +147,7 @@ def sniffed_delimiter(sample: str) -> str:
 def detect_format(spark: SparkSession, path: str) -> str:
     """delimited, json, jsonl, parquet or excel, by suffix, magic bytes, then content."""
     suffix = _suffix(path)
-    known = {".json": "json", ".parquet": "parquet", ".pq": "parquet"} | dict.fromkeys(JSON_LINES, "jsonl") | dict.fromkeys(EXCEL, "excel") | dict.fromkeys(DELIMITERS, "delimited")
+    known = {".json": "json", ".parquet": "parquet", ".pq": "parquet"} | dict.fromkeys(JSON_LINES, "jsonl") | dict.fromkeys(EXCEL, "excel") | dict.fromkeys((*DELIMITERS, *SNIFFED), "delimited")
     if suffix in known:
         return known[suffix]
     head = _peek(spark, path)
@@ -262,6 +263,8 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int | None = None, h
     """A worksheet's stored values, read from the workbook's own XML. A workbook holds at most 1,048,576 rows."""
     began = time.monotonic()
     content = spark.read.format("binaryFile").load(path).select("content").head()["content"]
+    if bytes(content[:4]) == BINARY_WORKBOOK:
+        raise ValueError(f"{path}: a workbook in the old binary format; save it as .xlsx")
     rows = [r for r in _sheet(bytes(content), sheet) if any(v is not None for v in r)]
     width = max(map(len, rows), default=0)
     rows = [[*r, *[None] * (width - len(r))] for r in rows]
@@ -275,6 +278,8 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int | None = None, h
     return _finished(df, path, "excel", began, [], limit, columns, coerce and "string" in kinds)
 
 
+#: How workbooks of the old binary format begin (fixed by the format).
+BINARY_WORKBOOK = b"\xd0\xcf\x11\xe0"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
@@ -329,7 +334,12 @@ ENGINES = {
     "redshift": ("jdbc:redshift://{host}:{port}/{database}", "com.amazon.redshift.jdbc42.Driver", 5439),
     "bigquery": ("jdbc:bigquery://{host}:443;ProjectId={database}", "com.simba.googlebigquery.jdbc.Driver", 443),
 }
-IDENTIFIER = r"^[A-Za-z_][\w$]*(\.[A-Za-z_][\w$]*){0,2}$"
+
+
+def is_table_name(name: str) -> bool:
+    """Whether a name is one to three plain identifiers (ASCII letters, digits, _ and $) between dots."""
+    parts = name.split(".")
+    return name.isascii() and 1 <= len(parts) <= 3 and all(p.replace("$", "_").isidentifier() and p[0] != "$" for p in parts)
 
 
 def connector_options(db: str | None = None, connection: dict | None = None, configs: dict | None = None, settings: dict | None = None) -> dict[str, str]:
@@ -363,9 +373,7 @@ def read_sql(spark: SparkSession, query: str, db: str | None = None, connection:
 
 def read_table(spark: SparkSession, table: str, db: str | None = None, connection: dict | None = None, configs: dict | None = None, settings: dict | None = None, limit: int | None = None, columns=None) -> Frame:
     """A table or view, only the columns asked for; its name must be a plain identifier."""
-    import re
-
-    if not re.match(IDENTIFIER, table):
+    if not is_table_name(table):
         raise ValueError(f"not a table name: {table}")
     began = time.monotonic()
     if db is None and connection is None:
