@@ -6,8 +6,8 @@ track, handler, codec, time scale, duration, frame count and the byte ranges of
 
 Cases: null bytes or text count as empty; a truncated or malformed container gives ``error`` and what was read
 before it; a container without tracks gives an empty list. Equal input, equal bytes: no clock or random id is
-stored, and repeated rows give equal results. A very long text is stored whole, one container a row;
-an empty table gives no rows; only the key and the data are read, so other columns' names
+stored, and repeated rows give equal results. A very long text is stored whole, one container a row; an
+empty table gives no rows; only the key and the data are read, so other columns' names
 cannot clash.
 """
 
