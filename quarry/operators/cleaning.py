@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,19 +92,18 @@ def coerce_types(df: DataFrame, schema: dict | None = None, columns=None) -> Don
 
 def drop_duplicates(df: DataFrame, subset=None, keep: str = "first", order=None) -> Done:
     """One row a key (nulls equal): the first or last in the table's order. With an order it is exact; a last row
-    takes the first one's place."""
+    takes the first one's place. Rows of a key are combined before the shuffle, however many there are."""
     columns = columns_of(df, subset)
     place = ordered(df, order)
     n = df.count()
     if not place:
         return (out := df.dropDuplicates(columns)), {"removed": n - out.count()}
     by = [F.to_json(quoted(c)) if isinstance(df.schema[c].dataType, T.MapType) else quoted(c) for c in columns]
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(*(quoted(p).desc() if keep == "last" else quoted(p).asc() for p in place)))
-    out = df.withColumn("_rank", rank)
-    if keep == "last" and ORDER in df.columns:
-        out = out.withColumn(ORDER, F.min(ORDER).over(w))
-    out = out.where("_rank = 1").drop("_rank")
+    at = F.struct(*(quoted(p).alias(f"p{i}") for i, p in enumerate(place)))  # nulls come first, as in a sort
+    best = (F.max_by if keep == "last" else F.min_by)(F.struct(*map(quoted, df.columns)), at)
+    first = [F.min(ORDER).alias("_first")] if keep == "last" and ORDER in df.columns else []
+    out = df.groupBy(*(b.alias(f"_k{i}") for i, b in enumerate(by))).agg(best.alias("_row"), *first)
+    out = out.select("_row.*", "_first").withColumn(ORDER, F.col("_first")).drop("_first") if first else out.select("_row.*")
     return out, {"removed": n - out.count()}
 
 

@@ -452,12 +452,19 @@ def _(t):
     return entities.generic_entity_features(t("events"), ["user_id"], ["ts"], ["value"], windows=(7,), order=["event_id"])[0].drop("ts_first", "ts_last")
 
 
-@query("generic_row_features")
-def _(t):
-    return registry.generic_row_features(t("events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], ["ts"], ["value"], ["event_type"], order=["event_id"])[0]
+def _generic_numeric(c: str) -> str:
+    q = lambda p: f"quantile_cont({c}, {p}) OVER ()"
+    return ", ".join([d(f"CASE WHEN {c} > -1 THEN ln(1 + {c}) END", f"{c}_log1p"), d(f"CASE WHEN {c} >= 0 THEN sqrt({c}) END", f"{c}_sqrt"), d(f"{c} * {c}", f"{c}_square"), d(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()", f"{c}_zscore"), i(below(c, [q(0.25), q(0.5), q(0.75)]), f"{c}_bin"), d(f"least(greatest({c}, {q(0.01)}), {q(0.99)})", f"{c}_winsorized"), i(f"({c} < {q(0.01)} OR {c} > {q(0.99)})", f"{c}_is_outlier")])
+
 
+B = "[p_size, p_retailprice]"
+GENERIC_NUMERIC = f"""WITH s AS (SELECT p_partkey, p_name, p_brand, p_type, p_size::DOUBLE AS p_size, p_retailprice FROM part)
+SELECT p_partkey, p_name, p_brand, p_type, {i('p_size', 'p_size')}, {d('p_retailprice', 'p_retailprice')}, {_generic_numeric('p_size')}, {_generic_numeric('p_retailprice')},
+{d('p_size / nullif(p_retailprice, 0)', 'p_size_per_p_retailprice')}, {d('p_retailprice / nullif(p_size, 0)', 'p_retailprice_per_p_size')}, {d('p_size * p_retailprice', 'p_size_prod_p_retailprice')}, {d('p_size - p_retailprice', 'p_size_diff_p_retailprice')},
+{d(f'list_sum({B})', 'row_total')}, {d(f'list_avg({B})', 'row_mean')}, {d(f'list_max({B})', 'row_max')}, {d(f'list_min({B})', 'row_min')}, {d(f'list_stddev_samp({B})', 'row_std')}, {i(f'len(list_filter({B}, lambda x: x != 0))', 'row_nonzero_count')} FROM s"""
 
-@query("generic_numeric_features")
+
+@query("generic_numeric_features", GENERIC_NUMERIC)
 def _(t):
     return registry.generic_numeric_features(t("part"), ["p_size", "p_retailprice"])[0]
 
@@ -490,6 +497,35 @@ def _(t):
     return categories.missing_indicators(holey(t))[0].select("event_id", "event_type_is_missing", "value_is_missing", "row_missing_count")
 
 
+def _joined(key: str, *parts: tuple[str, tuple[str, ...]]) -> str:
+    """SQL of some columns of registered queries side by side, row by row of ``key``; over events without holes."""
+    whole = "h AS (SELECT event_id, ts, user_id, event_type, value FROM events)"
+    froms = " JOIN ".join(f"({ORACLE_SQL[name].replace(HOLEY, whole)}) t{i}" + (f" USING ({key})" if i else "") for i, (name, _) in enumerate(parts))
+    return f"SELECT {key}, " + ", ".join(f't{i}."{c}"' for i, (_, columns) in enumerate(parts) for c in columns) + f" FROM {froms}"
+
+
+OF_USER = tuple(f"value_{f}_by_user_id" for f in ("mean", "sum", "max", "std"))
+GENERIC_ROW = _joined(
+    "event_id",
+    ("date_parts", tuple(f"ts_{p}" for p in dates.DATE_PARTS)),
+    ("cyclical_dates", tuple(f"ts_{p}_{f}" for p, _ in dates.CYCLES for f in ("sin", "cos"))),
+    ("recency", tuple(f"ts_{u}_since" for u in ("days", "weeks", "months"))),
+    ("group_aggregates", ("row_count_by_user_id", *OF_USER)),
+    ("group_relative", ("value_minus_user_id_mean", "value_ratio_to_user_id_mean", "value_share_of_user_id_sum", "value_zscore_in_user_id")),
+    ("lags", ("value_lag_1", "value_diff_1", "value_pct_change_1")),
+    ("cumulative", ("event_number", "value_cumsum", "value_cummax", "value_cummean")),
+    ("event_gaps", ("days_since_first_event", "days_since_previous_event", "event_gap_ratio", "mean_event_gap_days")),
+    ("frequency_encoding", ("event_type_frequency", "event_type_frequency_ratio")),
+)
+GENERIC_ROW = f"""SELECT g.*, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {i('user_id', 'user_id')}, event_type, {d('value', 'value')}, {i('0', 'row_missing_count')}
+FROM ({GENERIC_ROW}) g JOIN events USING (event_id)"""
+
+
+@query("generic_row_features", GENERIC_ROW)
+def _(t):
+    return registry.generic_row_features(t("events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], ["ts"], ["value"], ["event_type"], order=["event_id"])[0]
+
+
 # ---------------------------------------------------------------- auto
 
 
