@@ -28,7 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least ``doc_id`` of each near-duplicate group, once; rows without ``doc_id`` all stay.
 
-    Rows that share a ``doc_id`` are told apart by their fingerprint, so each group keeps a row of its own.
+    Rows that share a ``doc_id`` are told apart by their fingerprint, so each group keeps a row of its own; of rows that
+    share both, the one of the least text stays (null first). Null and blank texts are one group, as they link.
     """
     of = written(simhash.grouped(docs).where("doc_id is not null"), "groups")
     first = of.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select("one.*")
@@ -36,23 +37,31 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     known = docs.join(first.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
     if not shared.isEmpty():
         rows = simhash.marked(docs.join(shared, "doc_id", "left_semi")).join(first, ["doc_id", "fp"], "left_semi")
-        known = known.unionByName(rows.dropDuplicates(["doc_id", "fp"]).drop("fp"))
+        least = F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns))))  # combined before the shuffle
+        known = known.unionByName(rows.groupBy("doc_id", "fp").agg(least.alias("row")).select("row.*"))
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one has; a text that loses nothing stays as it is."""
+    """Documents without passages that an earlier one has; a text that loses nothing stays as it is.
+
+    Null and blank texts stay; rows that share a ``doc_id`` never cut each other; rows without one neither lose nor
+    remove words. No document goes, even one that loses every word.
+    """
     cut = substring.deduplicated(docs)
     return _retexted(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each secret replaced by ``[SECRET]``."""
+    """Documents with each secret replaced by ``[SECRET]``: overlapping spans by one; null texts stay null."""
     return _retexted(secrets.scanned(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document's ids lies in sequences of at most 4096."""
+    """Where each piece of each document's ids lies in sequences of at most 4096.
+
+    Null and empty texts are the end id alone; rows that share a ``doc_id`` are packed each on its own.
+    """
     return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
