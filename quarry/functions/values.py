@@ -115,6 +115,16 @@ def number(df: DataFrame, column: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def not_token(df: DataFrame, column: str, tokens: Sequence[str]) -> Column:
+    """Whether a present cell's text is none of ``tokens``, the numbers among them being whole: 1.0 is not "1"."""
+    kind = kind_of(df, column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return present(df, column)
+    if isinstance(kind, T.IntegralType):
+        return quoted(column).isNotNull() & ~quoted(column).isin(*(int(t) for t in tokens if t.isdigit()))
+    return present(df, column) & ~F.lower(stripped(key(df, column))).isin(*tokens)
+
+
 def moment(df: DataFrame, column: str) -> Column:
     """A cell as a timestamp without zone (UTC); null if missing or unreadable."""
     c, kind = quoted(column), kind_of(df, column)

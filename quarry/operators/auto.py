@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.functions.values import ORDER, PLAIN_BOOLEAN_TOKENS, TRUE_TOKENS, average_ranks, divided, key, missing, moment, names_of, number, one_row, ordered, places, quantiles, quoted, stripped
+from quarry.functions.values import ORDER, PLAIN_BOOLEAN_TOKENS, TRUE_TOKENS, average_ranks, divided, key, missing, moment, names_of, not_token, number, one_row, ordered, places, quantiles, quoted, stripped
 from quarry.operators.categories import boolean_flag, levels
 from quarry.operators.dates import part, relative_time
 from quarry.operators.entities import composed
@@ -61,8 +62,10 @@ def column_kinds(df: DataFrame, columns=None, sample: int | None = None) -> dict
     facts = {}
     for c in columns:
         there = ~missing(df, c)
-        text = F.lower(stripped(key(df, c)))
-        facts[c] = (F.count_if(there), F.count_if(there & ~text.isin(*PLAIN_BOOLEAN_TOKENS)), F.count_if(there & number(df, c).isNotNull()), F.count_if(there & moment(df, c).isNotNull()))
+        stored = isinstance(df.schema[c].dataType, T.NumericType)  # then no text need be read
+        numbers = there if stored else there & number(df, c).isNotNull()
+        dates = F.lit(False) if stored else there & moment(df, c).isNotNull()
+        facts[c] = (F.count_if(there), F.count_if(not_token(df, c, PLAIN_BOOLEAN_TOKENS)), F.count_if(numbers), F.count_if(dates))
     row = one_row(head, *(f.alias(f"{i} {c}") for c, fs in facts.items() for i, f in enumerate(fs))) if columns else {}
     kinds = {}
     for c in columns:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.values import BOOLEAN_TOKENS, ORDER, columns_of, days_between, key, missing, moment, names_of, number, one_row, quantiles, quoted, stripped
+from quarry.functions.values import BOOLEAN_TOKENS, ORDER, columns_of, days_between, key, missing, moment, names_of, not_token, number, one_row, quantiles, quoted, stripped
 from quarry.operators.cleaning import bounds
 from quarry.operators.missing import missing_patterns
 
@@ -34,9 +34,9 @@ def column_kinds(df: DataFrame, columns=None) -> dict[str, str]:
         there, k = ~missing(df, c), key(df, c)
         if isinstance(df.schema[c].dataType, T.NumericType):  # only "one value" and "zeros and ones" matter: no values are counted
             cell = F.when(there, quoted(c))
-            odd = F.count_if(there & ~F.lower(k).isin(*BOOLEAN_TOKENS))
+            odd = F.count_if(not_token(df, c, BOOLEAN_TOKENS))
             distinct = F.when(F.count(cell) == 0, 0).when(F.min(cell) == F.max(cell), 1).when(odd == 0, 2).otherwise(3)
-            return {"n": F.count_if(there), "distinct": distinct.cast("long"), "odd": odd, "numbers": F.count_if(there & number(df, c).isNotNull()), "dates": F.lit(0).cast("long"), "length": F.lit(None).cast("double")}
+            return {"n": F.count_if(there), "distinct": distinct.cast("long"), "odd": odd, "numbers": F.count_if(there), "dates": F.lit(0).cast("long"), "length": F.lit(None).cast("double")}
         return {"n": F.count_if(there), "distinct": F.count_distinct(F.when(there, k)), "odd": F.count_if(there & ~F.lower(k).isin(*BOOLEAN_TOKENS)), "numbers": F.count_if(there & number(df, c).isNotNull()), "dates": F.count_if(there & moment(df, c).isNotNull()), "length": F.avg(F.when(there, F.length(k)))}
 
     out = {}
