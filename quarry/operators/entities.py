@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.values import DAY, average_ranks, days_between, divided, key, micros, missing, moment, names_of, number, numbers_of, one_row, ordered, quoted
+from quarry.functions.values import DAY, average_ranks, days_between, divided, exact_sum, key, micros, missing, moment, names_of, number, numbers_of, one_row, ordered, quoted
 from quarry.operators.rows import Step, with_columns
 
 FUNCTIONS = ("count", "sum", "mean", "max", "std")
@@ -215,7 +215,9 @@ def _reference(df: DataFrame, dates: list[str], given) -> Column:
 
 
 def rfm(df: DataFrame, id_columns=(), date_columns=(), aggregation_columns=(), reference_date=None, buckets: int = 5) -> Step:
-    """Recency, frequency and monetary value of each entity, their scores by mean percentile rank, and a segment."""
+    """Recency, frequency and monetary value of each entity, their scores by mean percentile rank, and a segment.
+
+    The monetary sum is exact, since scores are joined by value: a sum that varies with the order of rows finds none."""
     ids, dates, columns = names_of(id_columns), names_of(date_columns), names_of(aggregation_columns)
     reference = _reference(df, dates, reference_date)
     x = number(df, columns[0]) if columns else F.lit(None).cast("double")
@@ -224,7 +226,7 @@ def rfm(df: DataFrame, id_columns=(), date_columns=(), aggregation_columns=(), r
     base = df.groupBy(*keys).agg(
         days_between(reference, F.max(t)).alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
-        F.coalesce(F.sum(x), F.lit(0.0)).alias("monetary_sum"),
+        F.coalesce(exact_sum(df, x), F.lit(0.0)).alias("monetary_sum"),
         F.coalesce(F.avg(x), F.lit(0.0)).alias("monetary_mean"),
         F.coalesce(F.max(x), F.lit(0.0)).alias("monetary_max"),
     )

@@ -7,6 +7,7 @@ import datetime
 import gzip
 import json
 import lzma
+import math
 import random
 import zipfile
 
@@ -345,3 +346,18 @@ def test_stream_and_table_give_the_same_totals(spark, tmp_path):
     batch = windowed_totals(df, ["u"], "t", ["x"], "1 day", "1 day")
     key = lambda r: (r["window_start"], r["u"], r["events"], r["x_sum"])
     assert sorted(map(key, spark.table("totals").collect())) == sorted(map(key, batch.collect()))
+
+
+def test_exact_sums_and_rfm_scores_do_not_depend_on_row_order(spark):
+    parts = [1e16, 1.0, -1e16, 0.1, 0.2, 0.3, -7.25]
+    rng = random.Random(4)
+    data = [(u, datetime.datetime(2024, 1, 1 + u), x) for u in range(9) for x in (parts if u == 0 else rng.sample(parts, len(parts)))]
+    data += [(9, datetime.datetime(2024, 2, 1), 5e-324), (9, datetime.datetime(2024, 2, 1), 1e308), (9, datetime.datetime(2024, 2, 1), -1e308)]
+    df = table(spark, data, "u long, t timestamp_ntz, x double").coalesce(1)
+    scores = {r["u"]: r for r in entities.rfm(df, ["u"], ["t"], ["x"])[0].collect()}
+    assert len({scores[str(u)]["monetary_sum"] for u in range(9)}) == 1 and scores["0"]["monetary_sum"] == math.fsum(parts)
+    assert {scores[str(u)]["m_score"] for u in range(9)} == {3} and scores["9"]["m_score"] == 5
+    assert scores["9"]["monetary_sum"] == 5e-324
+    odd = table(spark, [(1, None), (2, math.inf), (2, 1.0), (3, 0.0)], "u long, x double")
+    got = {r["u"]: r["s"] for r in odd.groupBy("u").agg(values.exact_sum(odd, F.col("x")).alias("s")).collect()}
+    assert got == {1: None, 2: math.inf, 3: 0.0}
