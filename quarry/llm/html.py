@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,6 @@ SHARE, LEAST = 0.75, 3
 SHORT = 80
 #: So many of a page's longest blocks tell its story; elements of so many upper levels are its frame.
 LONGEST, FRAME = 3, 4
-#: Siblings are aligned by a table of up to so many cells; in longer lists the k-th of a label pairs with the k-th.
-CELLS = 250_000
 #: Wrappers are broadcast if their table has at most so many bytes.
 BROADCAST = 8 << 20
 #: Nodes deeper than this hang on the last level; what is dropped still holds its own, up to so many levels more.
@@ -197,51 +197,113 @@ def skeleton(node: Node) -> list:
     return [node.label, "", children, 1]
 
 
+class _Shapes:
+    """Labels of subtrees as numbers: equal subtrees share one, so each pair of shapes is matched once.
+
+    The matching ignores text. A table of siblings is filled row by row and only every k-th row is kept, so its memory
+    grows with the longer list and not with the product of both; the way back fills the rows between again.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.children: list[np.ndarray] = []
+        self.nodes: list[int] = []  # how many a subtree has
+        self.of: dict[int, int] = {}  # shapes of trees by their identity
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def add(self, tree: list) -> int:
+        below = [self.add(k) for k in tree[2]]
+        number = self.known.setdefault((tree[0], *below), len(self.known))
+        if number == len(self.labels):
+            self.labels.append(tree[0])
+            self.children.append(np.array(below, np.int64))
+            self.nodes.append(1 + sum(self.nodes[k] for k in below))
+        self.of[id(tree)] = number
+        return number
+
+    def size(self, p: int, q: int) -> int:
+        """Size of the greatest matching of two shapes."""
+        if self.labels[p] != self.labels[q]:
+            return 0
+        if p == q:
+            return self.nodes[p]
+        if not len(self.children[p]) or not len(self.children[q]):
+            return 1
+        if (p, q) not in self.sizes:
+            last = None
+            for last in self.rows(p, q):
+                pass
+            self.sizes[p, q] = 1 + int(last[0])
+        return self.sizes[p, q]
+
+    def gains(self, p: int, q: int):
+        """How much each child of ``q`` gains with one of ``p``, by its shape."""
+        kinds, place = np.unique(self.children[q], return_inverse=True)
+        kinds, found = kinds.tolist(), {}
+
+        def of(shape: int) -> np.ndarray:
+            if shape not in found:
+                found[shape] = np.array([self.size(shape, k) for k in kinds], np.int64)
+            return found[shape][place]
+
+        return of
+
+    def rows(self, p: int, q: int, first: int = 0, end: int | None = None, below: np.ndarray | None = None, gains=None) -> Iterator[np.ndarray]:
+        """Rows of the table of two shapes' children, from the one before ``end`` up to ``first``."""
+        x, m = self.children[p], len(self.children[q])
+        gains = gains or self.gains(p, q)
+        below = np.zeros(m + 1, np.int64) if below is None else below
+        for shape in x[first:end][::-1].tolist():
+            here = np.zeros(m + 1, np.int64)
+            here[:m] = np.maximum.accumulate(np.maximum(below[:-1], below[1:] + gains(shape))[::-1])[::-1]
+            yield here
+            below = here
+
+    def pairs(self, p: int, q: int) -> Iterator[tuple[int, int]]:
+        """Which children pair."""
+        x, n, m = self.children[p], len(self.children[p]), len(self.children[q])
+        if p == q:
+            yield from ((i, i) for i in range(n))
+            return
+        gains = self.gains(p, q)
+        step = math.isqrt(n) + 1
+        kept = {n: np.zeros(m + 1, np.int64)}
+        kept |= {i: row for i, row in zip(range(n - 1, -1, -1), self.rows(p, q, gains=gains)) if not i % step}
+        j = 0
+        for first in range(0, n, step):
+            end = min(first + step, n)
+            table = [kept[end], *self.rows(p, q, first, end, kept[end], gains)][::-1]
+            i = first
+            while i < end and j < m:
+                here, below, gain = table[i - first], table[i - first + 1], gains(int(x[i]))
+                while j < m:
+                    if gain[j] and here[j] == below[j + 1] + gain[j]:
+                        yield i, j
+                        i, j = i + 1, j + 1
+                        break
+                    if here[j] == below[j]:
+                        i += 1
+                        break
+                    j += 1
+
+
 def matching(a: list, b: list, found: list[tuple[list, list]]) -> int:
     """Size of the greatest simple tree matching of two skeletons; ``found`` gets its pairs of text nodes."""
-    if a[0] != b[0]:
-        return 0
-    if not a[2] or not b[2]:
-        if a[0] == "#":
-            found.append((a, b))
-        return 1
-    x, y = a[2], b[2]
-    n, m = len(x), len(y)
-    if n * m > CELLS:
-        kin: dict[str, list] = {}
-        for k in y:
-            kin.setdefault(k[0], []).append(k)
-        turn = {label: iter(ks) for label, ks in kin.items()}
-        return 1 + sum(matching(k, other, found) for k in x if (other := next(turn.get(k[0], iter(())), None)) is not None)
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def pair(i: int, j: int) -> tuple[int, list]:
-        if (i, j) not in inner:
-            got: list[tuple[list, list]] = []
-            inner[i, j] = (matching(x[i], y[j], got), got)
-        return inner[i, j]
-
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        here, below = best[i], best[i + 1]
-        label = x[i][0]
-        for j in range(m - 1, -1, -1):
-            top = below[j] if below[j] >= here[j + 1] else here[j + 1]
-            if y[j][0] == label:
-                with_pair = below[j + 1] + pair(i, j)[0]
-                if with_pair > top:
-                    top = with_pair
-            here[j] = top
-    i = j = 0
-    while i < n and j < m:
-        if x[i][0] == y[j][0] and best[i][j] == best[i + 1][j + 1] + pair(i, j)[0]:
-            found += pair(i, j)[1]
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return 1 + best[0][0]
+    shapes = _Shapes()
+    size = shapes.size(shapes.add(a), shapes.add(b))
+
+    def gather(a: list, b: list) -> None:
+        if not a[2] or not b[2]:
+            if a[0] == "#":
+                found.append((a, b))
+            return
+        for i, j in shapes.pairs(shapes.of[id(a)], shapes.of[id(b)]):
+            gather(a[2][i], b[2][j])
+
+    if size:
+        gather(a, b)
+    return size
 
 
 def part_key(path: str, text: str) -> int:

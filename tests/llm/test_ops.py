@@ -615,6 +615,20 @@ def test_simple_tree_matching_by_brute_force():
         assert all(p[0] == q[0] == "#" for p, q in found) and len({id(p) for p, _ in found}) == len(found)
 
 
+def test_simple_tree_matching_of_long_lists():
+    """Over 500 siblings on each side: one more at the front moves every other one's partner."""
+    rng = random.Random(14)
+    rich = [["li", "", [["b", "", [["#", str(i), [], 1]], 1]] * rng.randint(1, 6), 1] for i in range(600)]
+    first = ["ul", "", [["li", "", [["i", "", [], 1]], 1], *rich], 1]
+    second = ["ul", "", [["li", "", list(t[2]), 1] for t in rich], 1]
+    found = []
+    parts = [len(t[2]) for t in rich]
+    assert html.matching(first, second, found) == 1 + sum(1 + 2 * n for n in parts)
+    assert len(found) == sum(parts) and all(a is b for a, b in found)
+    few, more = (["ul", "", [["p", "", [["#", f"{k} {i}", [], 1]], 1] for i in range(n)], 1] for k, n in enumerate((700, 900)))
+    assert html.matching(few, more, []) == 1401
+
+
 def test_simple_tree_matching_by_hand():
     a = html.skeleton(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
     b = html.skeleton(html.parse("<div><p>1</p><p>2</p><ul><li>y</li></ul></div>"))
