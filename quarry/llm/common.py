@@ -311,15 +311,26 @@ def gathered(index: np.ndarray, flat: np.ndarray, starts: np.ndarray, lens: np.n
     return flat[at], ends[offsets]
 
 
+def one_by_one(make: Callable[[str], Sequence[int]]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """(flat, lens) of what ``make`` gives for each of some words."""
+
+    def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        values = list(map(make, words))
+        lens = np.fromiter(map(len, values), np.int64, len(values))
+        return np.fromiter(itertools.chain.from_iterable(values), np.uint32, int(lens.sum())), lens
+
+    return many
+
+
 class Known:
-    """What ``make`` gives for words (unsigned 32-bit integers), packed: a word costs 29 bytes and its integers, and
+    """What ``make`` gives for a word, or ``many`` for some at once, (unsigned 32-bit integers), packed: a word costs 29 bytes and its integers, and
     is known by 128 bits of hash.
 
     Over ``most`` words those that were not asked for again since the last turn go.
     """
 
-    def __init__(self, make: Callable[[str], Sequence[int]], most: int) -> None:
-        self.make, self.most = make, most
+    def __init__(self, make: Callable[[str], Sequence[int]] | None, most: int, many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.many, self.most = many or one_by_one(make), most
         self._keep([np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int32, bool)], np.zeros(0, "<u4"))
 
     def _keep(self, columns: list[np.ndarray], flat: np.ndarray) -> None:
@@ -338,10 +349,9 @@ class Known:
         starts[hit], lens[hit] = self.start[at[hit]], self.size[at[hit]]
         self.asked[at[hit]] = True
         new = np.flatnonzero(~hit)
-        values = [self.make(words[i]) for i in new.tolist()]
-        lens[new] = np.fromiter(map(len, values), np.int64, len(values))
+        values, lens[new] = self.many([words[i] for i in new.tolist()])
         starts[new] = len(self.flat) + np.cumsum(lens[new]) - lens[new]
-        flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(values), np.uint32, int(lens[new].sum()))])
+        flat = np.concatenate([self.flat, values.astype(np.uint32)])
         new = new[~taken[new]]  # a word whose first 64 bits are another's is never kept
         _, first = np.unique(low[new], return_index=True)
         new = new[first]

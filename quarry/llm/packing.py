@@ -36,33 +36,32 @@ def _differenced(sizes: np.ndarray, m: int) -> tuple[np.ndarray, list[list[int]]
     left: list[np.ndarray] = []  # members joined by each merge, as trees: node n + k joins left and right
     right: list[np.ndarray] = []
     nodes = len(sizes)
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        sums, tree = np.zeros(m, np.int64), np.full(m, -1, np.int64)
-        sums[0], tree[0] = size, i
-        heap.append((-size, i, sums, tree))
+    # a partial partition has the filled slots alone, fullest first
+    heap = [(-size, i, np.array([size]), np.array([i])) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     tick = len(sizes)
     while len(heap) > 1:
         _, _, sums, tree = heapq.heappop(heap)
         _, _, other, more = heapq.heappop(heap)
-        sums, other, more = sums + other[::-1], None, more[::-1]
-        both = np.flatnonzero((tree >= 0) & (more >= 0))
-        joined = np.where(tree >= 0, tree, more)
-        if len(both):
-            left.append(tree[both])
-            right.append(more[both])
-            joined[both] = nodes + np.arange(len(both))
-            nodes += len(both)
-        order = np.argsort(-sums, kind="stable")
-        sums, joined = sums[order], joined[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), tick, sums, joined))
+        n, shared = len(sums), len(sums) + len(other) - m
+        other, more = other[::-1], more[::-1]
+        if shared > 0:
+            left.append(tree[n - shared :])
+            right.append(more[:shared])
+            sums = np.concatenate([sums[: n - shared], sums[n - shared :] + other[:shared], other[shared:]])
+            tree = np.concatenate([tree[: n - shared], np.arange(nodes, nodes + shared), more[shared:]])
+            nodes += shared
+        else:
+            sums, tree = np.concatenate([sums, other]), np.concatenate([tree, more])
+        order = (-sums).argsort(kind="stable")
+        sums, tree = sums[order], tree[order]
+        heapq.heappush(heap, ((int(sums[-1]) if len(sums) == m else 0) - int(sums[0]), tick, sums, tree))
         tick += 1
     lefts = np.concatenate(left).tolist() if left else []
     rights = np.concatenate(right).tolist() if right else []
     n, out = len(sizes), []
     for root in heap[0][3].tolist():
-        members, todo = [], [root] if root >= 0 else []
+        members, todo = [], [root]
         while todo:
             x = todo.pop()
             if x < n:

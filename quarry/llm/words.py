@@ -2,8 +2,9 @@
 
 For files whose pipeline is NFC, white space to one space, lower case, one pattern whose matches are kept, byte
 mapping, BPE (checked when the file is loaded), no match crosses white space. So a text's ids are its words' ids in
-order, and a word's are those of its matches, each encoded by the library's model. Special tokens spelled in a text
-are recognised as the library does: such a word goes to the library whole. Any other pipeline gets whole texts.
+order, and a word's are those of its matches, each distinct one encoded by the library's model. Special tokens
+spelled in a text are recognised as the library does: such a word goes to the library whole. Any other pipeline gets
+whole texts.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from quarry.llm.common import Known, Memo, distinct_words, gathered, resident
+from quarry.llm.common import Known, distinct_words, gathered, resident
 
 #: Words and pieces that a worker's memos hold at most, and bytes of text that are encoded together.
-WORDS, PIECES, RUN = 600_000, 80_000, 2 << 20
+WORDS, PIECES, RUN = 600_000, 300_000, 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,31 +51,58 @@ class Words:
             and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
         )
         if self.by_word:
-            self.match = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.letters = byte_letters()
+            pattern = splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+            self.match = regex.compile(rf"(?:{pattern})|\n")
+        letters = byte_letters()
+        self.letters = np.array([ord(letters[b]) if b != 10 else 10 for b in range(256)], "<u4")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in layout["added_tokens"]) or r"(?!)")
-        self.model = self.tokenizer.model
-        self.pieces = Memo(self._piece)
-        self.words = Known(self._word, WORDS)
-
-    def _piece(self, piece: str) -> list[int]:
-        if not (piece.isascii() and piece.isprintable()):
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(piece)]
+        self.model = Tokenizer(self.tokenizer.model)
+        suffix, vocabulary = layout["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix and all(x + suffix in vocabulary for x in letters.values()):  # then each match's last id is such a token's
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.pieces = Known(None, PIECES, self._pieces)
+        self.words = Known(None, WORDS, self._words)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches by the library's model alone."""
+        odd = [i for i, p in enumerate(pieces) if not (p.isascii() and p.isprintable())]
+        if odd:
+            joined = np.frombuffer("\n".join(pieces[i] for i in odd).encode(), np.uint8)
+            for i, p in zip(odd, self.letters[joined].tobytes().decode("utf-32-le").split("\n")):
+                pieces[i] = p
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        (found,) = self.model.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(pieces):
+            return ids, np.diff(last, prepend=-1)
+        found = self.model.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
-        if "|" in word and self.special.search(word):
-            return self._whole(word)
-        if word.isascii():
-            low = word.lower()
-        else:
-            low = unicodedata.normalize("NFC", word)
-            low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
-        found = self.match.findall(low)
-        return self._piece(found[0]) if len(found) == 1 else [x for m in found for x in self.pieces[m]]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words: all are normalised and cut into matches as one text, a line each."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = {i: self._whole(w) for i, w in enumerate(words) if "|" in w and self.special.search(w)}
+        low = "\n".join("" if i in whole else w for i, w in enumerate(words)) if whole else "\n".join(words)
+        if not low.isascii():
+            low = unicodedata.normalize("NFC", low).replace("Σ", "σ")
+        index, pieces = distinct_words(pa.array(self.match.findall(low.lower()), pa.string()))
+        line = pieces.index("\n") if len(words) > 1 else len(pieces)
+        flat, starts, lens = self.pieces.find(pieces[:line] + pieces[line + 1 :])
+        starts, lens = np.insert(starts, line, 0), np.insert(lens, line, 0)  # a line's end has no ids
+        ids, ends = gathered(index, flat, starts, lens, np.concatenate([[0], np.flatnonzero(index == line), [len(index)]]))
+        sizes = np.diff(ends)
+        if whole:
+            rows, values = list(whole), list(whole.values())
+            sizes[rows] = list(map(len, values))
+            ids = np.insert(ids, np.repeat(ends[rows], sizes[rows]), [x for v in values for x in v])
+        return ids, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts (null counts as empty), and where each text begins and the last ends."""
@@ -82,7 +110,6 @@ class Words:
         if not self.by_word:
             each = [np.array(self._whole(t), "<u4") for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
-        self.pieces.bounded(PIECES)
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
         index, distinct = distinct_words(split.values.slice(offsets[0], offsets[-1] - offsets[0]))

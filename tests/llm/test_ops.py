@@ -672,6 +672,21 @@ def test_words_are_the_library_s():
     assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:])] == [x[:-1] for x in encoded_by_library(texts)]
 
 
+def test_new_words_are_encoded_together():
+    """Each distinct match goes to the library once, all of an array's in one call; special words stand side by side."""
+    texts = ["Once once. once, (ONCE) ÉTÉ été", "<|endoftext|> <|endoftext|>x once <|startoftext|>", "", "Σας ΣΑΣ \x01\x7f İ ÿ</w>ÿ a</w>", None]
+    words, asked = Words(WORD_FILE), []
+    encode = words._pieces
+    words.pieces.many = lambda pieces: asked.append(list(pieces)) or encode(pieces)
+    ids, offsets = words.encode(pa.array(texts, pa.string()))
+    want = [x[:-1] for x in encoded_by_library([t or "" for t in texts])]
+    assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:])] == want
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) and asked[0].count("once") == 1
+    plain = Words(WORD_FILE)
+    plain.ends[:] = False  # where tokens do not tell a match's end
+    assert plain.encode(pa.array(texts, pa.string()))[0].tolist() == ids.tolist()
+
+
 @pytest.mark.parametrize("sizes", [[], [1], [4096], [2049] * 5, [1000] * 50, list(range(1, 300))])
 def test_differencing(sizes):
     windows = packing.differencing(sizes)
