@@ -50,11 +50,35 @@ TOP, BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 DIGIT = 16
 FLOOR = 64
 TARGET = np.array([[j * FLOOR + (0 if j <= s else (1 << SCALE) - DIGIT * FLOOR) for j in range(DIGIT)] for s in range(DIGIT)], np.int16)
+ONES = np.uint64(0x0101010101010101)
 FLAT = np.arange(0, 1 << SCALE, (1 << SCALE) // DIGIT).astype(np.int16)
+#: A cell that predicts nothing: more than any coded id, without trust.
+NONE = 1 << 20
 #: Distributions per lane: of the first digit, the second, the third, and hashed ones of the last.
 TABLES = 1 + 16 + 256 + 512
 
 
+def _settled(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which intervals give a byte: the first is settled, or they are too tight."""
+    return np.flatnonzero(((low ^ (low + wide)) < TOP) | (wide < BOTTOM))
+
+
+def _narrowed(rows: np.ndarray | slice, low: np.ndarray, wide: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows, low ends and widths of the intervals ``at``, and the widths that end with the byte."""
+    rows = at if isinstance(rows, slice) else rows.take(at)
+    low, wide = low.take(at), wide.take(at)
+    return rows, low, wide, np.where((low ^ (low + wide)) < TOP, wide, (~low + np.uint32(1)) & (BOTTOM - np.uint32(1)))
+
+
+def _span(below: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's digit starts in its cumulative distribution, and its size."""
+    at = np.arange(0, len(value) * DIGIT, DIGIT) + value
+    flat = below.reshape(-1)
+    start = flat.take(at).astype(np.int32)
+    end = np.where(value == DIGIT - 1, 1 << SCALE, flat.take(at + 1, mode="clip").astype(np.int32))
+    return start, end - start
+
+
 class _Encoder:
     """Carry-less range encoder with one interval per lane."""
 
@@ -67,35 +91,31 @@ class _Encoder:
 
     def _byte(self, rows: np.ndarray, byte: np.ndarray) -> None:
         # a block that outgrows its room is stored raw, so what it loses is not read
-        self.out[rows, np.minimum(self.n[rows], self.out.shape[1] - 1)] = byte
-        self.n[rows] += 1
+        n = self.n.take(rows)
+        self.out.reshape(-1)[rows * self.out.shape[1] + np.minimum(n, self.out.shape[1] - 1)] = byte
+        self.n[rows] = n + 1
 
-    def put(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def put(self, rows: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         """Narrows the intervals to [start, start + size) of 2^15."""
         unit = self.range[rows] >> np.uint32(SCALE)
         low, wide = self.low[rows] + unit * start.astype(np.uint32), unit * size.astype(np.uint32)
         self.low[rows], self.range[rows] = low, wide
         while True:
-            settled = (low ^ (low + wide)) < TOP
-            tight = wide < BOTTOM
-            at = np.flatnonzero(settled | tight)
+            at = _settled(low, wide)
             if not len(at):
                 return
-            rows, low, wide = rows[at], low[at], wide[at]
-            wide = np.where(settled[at], wide, (~low + np.uint32(1)) & (BOTTOM - np.uint32(1)))
+            rows, low, wide, narrow = _narrowed(rows, low, wide, at)
             self._byte(rows, low >> np.uint32(24))
-            low, wide = low << np.uint32(8), wide << np.uint32(8)
+            low, wide = low << np.uint32(8), narrow << np.uint32(8)
             self.low[rows], self.range[rows] = low, wide
 
-    def flag(self, rows: np.ndarray, p: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        self.put(rows, np.where(hit, 0, p), np.where(hit, p, (1 << SCALE) - p))
+    def flag(self, n: int, p: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Codes a flag of each of the first ``n`` lanes."""
+        self.put(slice(0, n), p * ~hit, np.where(hit, p, (1 << SCALE) - p))
         return hit
 
     def digit(self, rows: np.ndarray, below: np.ndarray, value: np.ndarray) -> np.ndarray:
-        each = np.arange(len(rows))
-        start = below[each, value].astype(np.int32)
-        end = np.where(value == DIGIT - 1, 1 << SCALE, below[each, np.minimum(value + 1, DIGIT - 1)].astype(np.int32))
-        self.put(rows, start, end - start)
+        self.put(rows, *_span(below, value))
         return value
 
     def done(self) -> list[bytes]:
@@ -119,86 +139,86 @@ class _Decoder:
         self.n = np.full(len(blocks), 4, np.int64)
         self.lanes = np.arange(len(blocks))
 
-    def _at(self, rows: np.ndarray) -> np.ndarray:
+    def _at(self, rows: np.ndarray | slice) -> np.ndarray:
         unit = self.range[rows] >> np.uint32(SCALE)
         return np.minimum((self.x[rows] - self.low[rows]) // unit, np.uint32((1 << SCALE) - 1)).astype(np.int32)
 
-    def _took(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def _took(self, rows: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         unit = self.range[rows] >> np.uint32(SCALE)
         low, wide = self.low[rows] + unit * start.astype(np.uint32), unit * size.astype(np.uint32)
         self.low[rows], self.range[rows] = low, wide
         while True:
-            settled = (low ^ (low + wide)) < TOP
-            tight = wide < BOTTOM
-            at = np.flatnonzero(settled | tight)
+            at = _settled(low, wide)
             if not len(at):
                 return
-            rows, low, wide = rows[at], low[at], wide[at]
-            wide = np.where(settled[at], wide, (~low + np.uint32(1)) & (BOTTOM - np.uint32(1)))
-            more = self.data[rows, np.minimum(self.n[rows], self.data.shape[1] - 1)]
-            self.n[rows] += 1
-            self.x[rows] = (self.x[rows] << np.uint32(8)) | more
-            low, wide = low << np.uint32(8), wide << np.uint32(8)
+            rows, low, wide, narrow = _narrowed(rows, low, wide, at)
+            n = self.n.take(rows)
+            more = self.data.take(rows * self.data.shape[1] + np.minimum(n, self.data.shape[1] - 1))
+            self.n[rows] = n + 1
+            self.x[rows] = (self.x.take(rows) << np.uint32(8)) | more
+            low, wide = low << np.uint32(8), narrow << np.uint32(8)
             self.low[rows], self.range[rows] = low, wide
 
-    def flag(self, rows: np.ndarray, p: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+    def flag(self, n: int, p: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+        rows = slice(0, n)
         hit = self._at(rows) < p
-        self._took(rows, np.where(hit, 0, p), np.where(hit, p, (1 << SCALE) - p))
+        self._took(rows, p * ~hit, np.where(hit, p, (1 << SCALE) - p))
         return hit
 
     def digit(self, rows: np.ndarray, below: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        value = (below <= self._at(rows)[:, None]).sum(axis=1) - 1
-        each = np.arange(len(rows))
-        start = below[each, value].astype(np.int32)
-        end = np.where(value == DIGIT - 1, 1 << SCALE, below[each, np.minimum(value + 1, DIGIT - 1)].astype(np.int32))
-        self._took(rows, start, end - start)
+        upto = (below <= self._at(rows).astype(np.int16)[:, None]).view(np.uint64)  # a byte a digit, added up eight at once
+        value = (((upto[:, 0] + upto[:, 1]) * ONES) >> np.uint64(56)).astype(np.int64) - 1
+        self._took(rows, *_span(below, value))
         return value
 
 
 def _run(coder: _Encoder | _Decoder, ids: np.ndarray, sizes: np.ndarray, known: bool) -> None:
     """Codes [lane, step] ``ids`` (filled in when they are not ``known``). Lanes come in falling order of size."""
     lanes = len(sizes)
-    predicted = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-    trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-    told = [np.full(lanes * 32, 2048, np.int32) for _ in range(2)]  # by confidence and agreement
-    told.append(np.full(lanes * 16, 2048, np.int32))  # by the last four flags
-    weight = [np.full(lanes, 22000, np.int32) for _ in range(3)]
+    cells = [np.full(lanes * SLOTS, NONE, np.int32) for _ in range(2)]  # what order 2 and order 1 predict, times 16, and their trust
+    told = np.full(lanes * 80, 2048, np.int32)  # by each order's confidence and agreement, and by the last four flags
+    weight = np.full((3, lanes), 22000, np.int32)
     digits = np.broadcast_to(FLAT, (lanes * TABLES, DIGIT)).copy()
-    one, two, run = (np.zeros(lanes, np.int64) for _ in range(3))
+    one, run, mixed_one, mixed_two = (np.zeros(lanes, np.int64) for _ in range(4))
     every = np.arange(lanes)
+    slots, places = every * SLOTS, every * 80
     open_ = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left")  # lanes still open at each step
     for t, n in enumerate(open_.tolist()):
-        on, row = slice(0, n), every[:n]
-        slot = [row * SLOTS + (((two[on] * 2654435761 + one[on] * 40503) >> 7) & (SLOTS - 1)), row * SLOTS + ((one[on] * 2654435761 >> 9) & (SLOTS - 1))]
-        guess = [predicted[k][slot[k]] for k in (0, 1)]
-        sure = [trust[k][slot[k]] for k in (0, 1)]
+        slot = [slots[:n] + (((mixed_two[:n] + one[:n] * 40503) >> 7) & (SLOTS - 1)), slots[:n] + ((mixed_one[:n] >> 9) & (SLOTS - 1))]
+        found = [cells[k].take(slot[k]) for k in (0, 1)]
+        guess, sure = [x >> 4 for x in found], [x & 15 for x in found]
+        agree = guess[0] == guess[1]
         best = np.where(sure[0] > 0, guess[0], guess[1])
-        cell = [row * 32 + sure[0] * 2 + (guess[0] == guess[1]), row * 32 + sure[1] * 2 + (best == guess[1]), row * 16 + run[on]]
-        p = [told[k][cell[k]] for k in range(3)]
-        s = [STRETCH[q] for q in p]
-        dot = (weight[0][on] * s[0] + weight[1][on] * s[1] + weight[2][on] * s[2]) >> 16
-        mixed = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        hit = coder.flag(row, np.maximum(mixed * 8, 16), ids[on, t] == best if known else None)
+        cell = np.empty((3, n), np.int64)
+        cell[0] = sure[0] * 2 + agree
+        cell[1] = sure[1] * 2 + ((sure[0] == 0) | agree) + 32
+        cell[2] = run[:n] + 64
+        cell += places[:n]
+        p = told.take(cell)
+        s = STRETCH.take(p)
+        now = weight[:, :n]
+        dot = (now * s).sum(axis=0, dtype=np.int32) >> 16
+        mixed = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
+        hit = coder.flag(n, np.maximum(mixed * 8, 16), ids[:n, t] == best if known else None)
         goal = hit * np.int32(4095)
-        error = goal - mixed
-        for k in range(3):
-            weight[k][on] += (s[k] * error) >> LEARN
-            np.clip(weight[k][on], -200_000, 200_000, out=weight[k][on])
-            told[k][cell[k]] = p[k] + ((goal - p[k]) >> RATE)
-        run[on] = ((run[on] << 1) | hit) & 15
+        now += (s * (goal - mixed)) >> LEARN
+        np.minimum(now, 200_000, out=now)
+        np.maximum(now, -200_000, out=now)
+        told[cell] = p + ((goal - p) >> RATE)
+        run[:n] = ((run[:n] << 1) | hit) & 15
         missed = np.flatnonzero(~hit)
         if not known:
-            ids[on, t] = best
+            ids[:n, t] = best
         if len(missed):
             ids[missed, t] = _literal(coder, digits, missed, ids[missed, t].astype(np.int64) if known else None)
-        x = ids[on, t]
+        x = ids[:n, t]
         for k in (0, 1):
             lower = sure[k] >> 1
-            right = guess[k] == x
-            predicted[k][slot[k]] = np.where(lower > 0, guess[k], x)
-            trust[k][slot[k]] = np.where(right, np.minimum(sure[k] + 1, 15), np.maximum(lower, 1))
-        two[on] = one[on]
-        one[on] = x
+            kept = np.where(lower > 0, guess[k], x) << 4
+            cells[k][slot[k]] = kept + np.where(guess[k] == x, np.minimum(sure[k] + 1, 15), np.maximum(lower, 1))
+        mixed_two[:n] = mixed_one[:n]
+        one[:n] = x
+        mixed_one[:n] = one[:n] * 2654435761
 
 
 def _literal(coder: _Encoder | _Decoder, digits: np.ndarray, rows: np.ndarray, value: np.ndarray | None) -> np.ndarray:
@@ -207,9 +227,9 @@ def _literal(coder: _Encoder | _Decoder, digits: np.ndarray, rows: np.ndarray, v
     so_far = np.zeros(len(rows), np.int64)
     for k in range(4):
         at = base + (so_far if k < 3 else (so_far * 2654435761 >> 11) & 511)
-        below = digits[at]
+        below = digits.take(at, axis=0)
         got = coder.digit(rows, below, None if value is None else (value >> (12 - 4 * k)) & 15)
-        below += (TARGET[got] - below) >> 5
+        below += (TARGET.take(got, axis=0) - below) >> 5
         digits[at] = below
         so_far = so_far << 4 | got
         base = base + (1, 16, 256, 0)[k]

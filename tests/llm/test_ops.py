@@ -464,6 +464,21 @@ def encoded_by_library(texts):
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
+def test_coder_bytes_are_fixed():
+    """The stored form of these ids, by the coder of round 1: files that it wrote stay readable."""
+    rng = random.Random(21)
+    ids = []
+    for _ in range(900):
+        if ids and rng.random() < 0.7:
+            a = rng.randrange(len(ids))
+            ids += ids[a : a + rng.randint(1, 40)]
+        else:
+            ids += [rng.choice([0, 1, 65535, rng.randrange(65536), int(rng.paretovariate(1)) % 65536]) for _ in range(rng.randint(1, 9))]
+    data = tokenfile.pack(np.array(ids, "<u4"))
+    assert (len(ids), len(data), zlib.crc32(data)) == (14315, 7269, 2917143105)
+    assert tokenfile.unpack(data).tolist() == ids
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "RECORD", 3000)
     texts = ODD_TEXTS + ["some more words here"]
