@@ -341,7 +341,9 @@ class Known:
         """(flat, starts, lens): the integers of each of some distinct words as slices of one array."""
         hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
         low, high = np.ascontiguousarray(hashed[:, 0]), np.ascontiguousarray(hashed[:, 1])
-        at = np.searchsorted(self.low, low)
+        order = np.argsort(low)
+        at = np.empty(len(low), np.int64)
+        at[order] = np.searchsorted(self.low, low[order])
         near = np.minimum(at, max(len(self.low) - 1, 0))
         taken = self.low[near] == low if len(self.low) else np.zeros(len(low), bool)
         hit = taken & (self.high[near] == high) if len(self.low) else taken

@@ -4,16 +4,19 @@ Ids are cut into blocks of ``BLOCK``. In a block, order-2 and order-1 tables (by
 last one) each predict the next id with a confidence. An integer logistic mixer joins what the order-2 confidence, the
 order-1 confidence and the recent run of hits say about "the prediction is right", and that flag is arithmetic-coded.
 A miss codes the id itself under an adaptive order-0 model: its four hex digits, each under a distribution of sixteen
-that belongs to the digits before it and moves towards what it sees. All state starts afresh in each block, so blocks are coded side by side, one
-numpy lane a block; all arithmetic is on integers, so any machine decodes what another wrote.
+that belongs to the digits before it and moves towards what it sees. All state starts afresh in each block, and all
+arithmetic is on integers, so any machine decodes what another wrote.
+
+``write`` and ``read`` code in the JVM, a block after the other with its state in a core's cache (``TokenIds.java``).
+``pack`` and ``unpack`` are the same coder without Spark, one numpy lane a block; the bytes are the same.
 
 A record holds whole documents: a header, each document's key and length, and its blocks with length, kind and CRC-32
 of the ids (a block that would not shrink is stored raw). ``write`` gives a DataFrame of records to be stored as a
-Parquet table; ``read`` decodes one record at a time and raises ValueError when a checksum fails.
+Parquet table; ``read`` decodes one record at a time and fails when a checksum does (``unpack``: ValueError).
 
-Cases: null or empty text has the end id alone; a document longer than a record gets a record of its own, coded
-``LANES`` blocks at a time, so that only its ids grow with it; ids of 2^16 and more are stored raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no
-records.
+Cases: null or empty text has the end id alone; a document longer than a record gets a record of its own, whose ids
+are held whole, four bytes each, in a worker and in the JVM (536 million ids at most); ids of 2^16 and more are stored
+raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_arrow, partitions, planes, unplanes, written
+from quarry.llm.jvm import binary
 from quarry.llm.words import key as key_of
 from quarry.llm.words import words
 
@@ -36,6 +40,8 @@ MAGIC = b"QIDS0001"
 BLOCK = 2048
 #: Ids that a record holds, more only for one long document; blocks that are coded side by side.
 RECORD, LANES = 4 << 20, 2048
+#: Bytes of text that are encoded together.
+TEXT = 4 << 20
 SLOTS = 2048
 RATE, LEARN = 4, 6
 
@@ -287,15 +293,20 @@ def unpack(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def record(keys: list[int], sizes: list[int], ids: np.ndarray) -> bytes:
-    """A record of whole documents. A null key is stored as the least 64-bit integer."""
+def _head(keys: list[int], sizes: list[int]) -> bytes:
+    """What precedes a record's blocks. A null key is stored as the least 64-bit integer."""
     table = planes(np.array([-(1 << 63) if k is None else k for k in keys], "<i8")) + planes(np.array(sizes, "<u4"))
     table = zlib.compress(table, 1)
-    return MAGIC + struct.pack("<III", len(keys), len(table), zlib.crc32(table)) + table + pack(ids)
+    return MAGIC + struct.pack("<III", len(keys), len(table), zlib.crc32(table)) + table
 
 
-def opened(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(keys, sizes, ids) of a record."""
+def record(keys: list[int], sizes: list[int], ids: np.ndarray) -> bytes:
+    """A record of whole documents."""
+    return _head(keys, sizes) + pack(ids)
+
+
+def _listed(data: bytes) -> tuple[list[int | None], np.ndarray, int]:
+    """(keys, sizes) of a record, and where its blocks begin."""
     if data[:8] != MAGIC:
         raise ValueError("not a record of token ids")
     n, size, crc = struct.unpack_from("<III", data, 8)
@@ -304,10 +315,16 @@ def opened(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         raise ValueError("a record's table fails its checksum")
     table = zlib.decompress(table)
     keys = [None if k == -(1 << 63) else k for k in unplanes(table[: 8 * n], "<i8").tolist()]
-    return keys, unplanes(table[8 * n :], "<u4").astype(np.int64), unpack(data[20 + size :])
+    return keys, unplanes(table[8 * n :], "<u4").astype(np.int64), 20 + size
+
+
+def opened(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(keys, sizes, ids) of a record."""
+    keys, sizes, at = _listed(data)
+    return keys, sizes, unpack(data[at:])
 
 
-RECORDS = "shard int, part int, start long, n_ids long, data binary"
+PLAIN = "shard int, part int, start long, n_ids long, head binary, ids binary"
 
 
 def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -330,16 +347,15 @@ def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             nonlocal part, start, held
-            data = record(keys, sizes, np.concatenate(parts))
-            row = [[shard], [part], [start], [held], [data]]
+            row = [[shard], [part], [start], [held], [_head(keys, sizes)], [np.concatenate(parts).tobytes()]]
             part, start, held = part + 1, start + held, 0
             for x in (keys, sizes, parts):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "part", "start", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "part", "start", "n_ids", "head", "ids"])
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for first, flat, offsets in encoder.encode_batches(batch.column(1)):
+            for first, flat, offsets in encoder.encode_batches(batch.column(1), TEXT):
                 for key, a, z in zip(own[first:], offsets.tolist(), offsets[1:].tolist()):
                     if held and held + z - a + 1 > RECORD:
                         yield done()
@@ -350,7 +366,8 @@ def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if held:
             yield done()
 
-    return map_arrow(ordered, run, RECORDS, key_of(path))
+    plain = map_arrow(ordered, run, PLAIN, key_of(path))
+    return plain.select("shard", "part", "start", "n_ids", binary(docs.sparkSession, "TokenIds", "Pack", "head", "ids").alias("data"))
 
 
 def read(records: DataFrame) -> DataFrame:
@@ -361,13 +378,14 @@ def read(records: DataFrame) -> DataFrame:
 def _each(records: DataFrame, field: str, make) -> DataFrame:
     totals = records.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row a shard
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    placed = records.join(before, "shard").select((F.col("before") + F.col("start")).alias("start"), "data")
+    placed = records.join(before, "shard").select((F.col("before") + F.col("start")).alias("start"), "data", binary(records.sparkSession, "TokenIds", "Unpack", "data").alias("ids"))
     name = field.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, sizes, ids = opened(data.as_buffer().to_pybytes())
+            for start, data, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                keys, sizes, _ = _listed(data.as_buffer().to_pybytes())
+                ids = np.frombuffer(ids.as_buffer(), "<u4")
                 ends = np.cumsum(sizes)
                 for k in range(0, len(keys), 2000):
                     a, z = (ends - sizes)[k : k + 2000], ends[k : k + 2000]
