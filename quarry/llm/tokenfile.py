@@ -15,8 +15,8 @@ of the ids (a block that would not shrink is stored raw). ``write`` gives a Data
 Parquet table; ``read`` decodes one record at a time and fails when a checksum does (``unpack``: ValueError).
 
 Cases: null or empty text has the end id alone; a document longer than a record gets a record of its own, whose ids
-are held whole, four bytes each, in a worker and in the JVM (536 million ids at most); ids of 2^16 and more are stored
-raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no records.
+are held whole in a worker and in the JVM (two bytes each there, in several copies; a thousand million ids at most);
+ids of 2^16 and more are stored raw; rows that repeat a ``doc_id`` follow each other in any order; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -324,6 +324,11 @@ def opened(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return keys, sizes, unpack(data[at:])
 
 
+def sent(ids: np.ndarray) -> bytes:
+    """Ids on their way to the JVM: two bytes each where that is enough for all, else four."""
+    return ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()
+
+
 PLAIN = "shard int, part int, start long, n_ids long, head binary, ids binary"
 
 
@@ -347,7 +352,7 @@ def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             nonlocal part, start, held
-            row = [[shard], [part], [start], [held], [_head(keys, sizes)], [np.concatenate(parts).tobytes()]]
+            row = [[shard], [part], [start], [held], [_head(keys, sizes)], [sent(np.concatenate(parts))]]
             part, start, held = part + 1, start + held, 0
             for x in (keys, sizes, parts):
                 x.clear()
@@ -367,7 +372,7 @@ def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield done()
 
     plain = map_arrow(ordered, run, PLAIN, key_of(path))
-    return plain.select("shard", "part", "start", "n_ids", binary(docs.sparkSession, "TokenIds", "Pack", "head", "ids").alias("data"))
+    return plain.select("shard", "part", "start", "n_ids", binary(docs.sparkSession, "TokenIds", "Pack", "head", "ids", "n_ids").alias("data"))
 
 
 def read(records: DataFrame) -> DataFrame:
@@ -385,7 +390,8 @@ def _each(records: DataFrame, field: str, make) -> DataFrame:
         for batch in batches:
             for start, data, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 keys, sizes, _ = _listed(data.as_buffer().to_pybytes())
-                ids = np.frombuffer(ids.as_buffer(), "<u4")
+                n = int(sizes.sum())
+                ids = np.frombuffer(ids.as_buffer(), "<u2" if len(ids.as_buffer()) == 2 * n else "<u4").astype("<u4", copy=False)
                 ends = np.cumsum(sizes)
                 for k in range(0, len(keys), 2000):
                     a, z = (ends - sizes)[k : k + 2000], ends[k : k + 2000]
