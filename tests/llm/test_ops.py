@@ -233,6 +233,18 @@ def test_quality_rules_by_hand(spark):
     assert quality.scored(documents(spark, []), model).count() == 0 and quality.kept(documents(spark, []), model).count() == 0
 
 
+def test_quality_statistics_without_lists_of_matches(spark):
+    """Each statistic of odd texts by hand; only long words may be counted by a list of their matches."""
+    texts = [t for t in ODD_TEXTS if not t or "İ" not in t] + ["a&&b [x] \\ \\\\ ^^ -- 0-9 $1", "𝐀 Ⅷ ǅ 𐐀é🙂A", " B", "B\n", "*" * 9000, "9," * 9000, "W" * 17 + " " + "W" * 18]
+    stats = quality.statistics(F.col("text"))
+    out = documents(spark, texts).select("doc_id", *(c.alias(k) for k, c in stats.items()))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(len(texts)))
+    for r in out.collect():
+        assert r.asDict() == pytest.approx({"doc_id": r["doc_id"]} | measured_by_hand(texts[r["doc_id"]]), abs=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().expressions().mkString(" ").lower()
+    assert plan.count("regexp_extract_all(") == 1
+
+
 # ---------------------------------------------------------------- 3
 
 
